@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanforge.llm import splitting
+from spanforge.llm import leakage, packing, splitting
 from spanforge.plans.registry import Registry
 from spanforge.sources.tables import table
 
@@ -22,3 +22,45 @@ def p10_found(spark, d):
 def p10_pieces(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "n_tokens").where("n_tokens is null or n_tokens > 512")
     return splitting.split(docs, "text", "n_tokens").select("doc_id", "piece.*")
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "item_text")
+    return leakage.leaked(docs, "doc_id", "text", items, "item_id", "item_text").select("doc_id", "item_id")
+
+
+@query("p9_items")
+def p9_items(spark, d):
+    """Each leaked item with the number of documents it leaks into."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query("p9_variants")
+def p9_variants(spark, d):
+    """Documents with re-parameterised item windows, by class of items."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "item_text")
+    return leakage.variants(docs, "doc_id", "text", items, "item_id", "item_text")
+
+
+def _packed(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "n_tokens")
+    return packing.pack(docs, "doc_id", "text", "n_tokens")
+
+
+@query("p8_found", "SELECT doc_id FROM documents WHERE n_tokens > 2048")
+def p8_found(spark, d):
+    """Documents in more than one piece."""
+    return _packed(spark, d).where("piece > 0").select(F.col("id").alias("doc_id")).distinct()
+
+
+@query("p8_containers")
+def p8_containers(spark, d):
+    return _packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+@query("p8_fill")
+def p8_fill(spark, d):
+    """How full the containers are: number, tokens, share of room used, fewest and most tokens."""
+    c = _packed(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    return c.agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("fill"), F.min("n").alias("least"), F.max("n").alias("most"))
