@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanforge.llm import leakage, packing, splitting
+from spanforge.llm import leakage, packing, splitting, truncation
 from spanforge.plans.registry import Registry
 from spanforge.sources.tables import table
 
@@ -64,3 +64,18 @@ def p8_fill(spark, d):
     """How full the containers are: number, tokens, share of room used, fewest and most tokens."""
     c = _packed(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"))
     return c.agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("fill"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def _judged(spark, d):
+    return truncation.judged(table(spark, d, "transactions"), table(spark, d, "chunks"))
+
+
+@query("p2_found")
+def p2_found(spark, d):
+    return _judged(spark, d).where("cut").select("txn_id")
+
+
+@query("p2_rates")
+def p2_rates(spark, d):
+    """How often each capture source cuts bodies."""
+    return truncation.rates(_judged(spark, d))
