@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanforge.llm import leakage, packing, splitting, truncation
+from spanforge.llm import leakage, packing, pii, splitting, truncation
 from spanforge.plans.registry import Registry
 from spanforge.sources.tables import table
 
@@ -79,3 +79,14 @@ def p2_found(spark, d):
 def p2_rates(spark, d):
     """How often each capture source cuts bodies."""
     return truncation.rates(_judged(spark, d))
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    return pii.found(table(spark, d, "transactions"))
+
+
+@query("p6_redacted")
+def p6_redacted(spark, d):
+    """The four fields of every row of transactions with findings replaced by placeholders."""
+    return pii.redacted(table(spark, d, "transactions")).withColumnRenamed("id", "txn_id")
