@@ -90,6 +90,12 @@ def _grains(sketches: DataFrame, what) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("p4_sketches")
+def p4_sketches(spark, d):
+    """The mergeable partial results themselves: touched rows of the bit matrices per account, source and day."""
+    return _sketches(spark, d)
+
+
 @query("p4_distinct")
 def p4_distinct(spark, d):
     """Estimates with bounds per day, per account and per account, source and day."""
