@@ -77,10 +77,10 @@ def _pass(text: str, at: list[int] | None) -> tuple[str, list[int]]:
 
 def decode(text: str) -> tuple[str, list[int] | None]:
     """The text as it reads and, if anything was escaped, the raw place of each character and of the end."""
-    if not ("%" in text or "\\" in text or "&" in text or "+" in text):
-        return text, None
     at: list[int] | None = None
-    for _ in range(3):
+    for k in range(3):
+        if not ("%" in text or "\\" in text or "&" in text or (k == 0 and "+" in text)) or not _ESCAPE.search(text):
+            break
         new, places = _pass(text, at)
         if new == text:
             break
@@ -118,26 +118,39 @@ ADDRESS_WORD = re.compile(rf"{_alt(STREETS)}|{_alt(STEMS)}|{_alt(ROADS)}|{_alt(C
 _L = "A-ZÀ-ÖØ-ÞŁŚŻ"
 _NAMEPART = rf"(?:[{_L}][a-zà-öø-ÿł'’]+(?:[{_L}][a-z]+)?|[{_L}]{{2,}})"
 _SURNAME = rf"{_NAMEPART}(?:[-‐]{_NAMEPART})?"
+#: Tried at capitals that begin a word.
 NAME = (
-    re.compile(rf"(?<![\w.'’-])(?={_SURNAME} (?:[{_L}]\. ?)?{_SURNAME}(?![\w]))({_NAMEPART}(?:-{_NAMEPART})? (?:[{_L}]\. ?)?{_SURNAME})"),
-    re.compile(rf"(?<![\w.'’-])([{_L}]\. ?(?:[{_L}]\. ?)?{_SURNAME})(?![\w])"),
-    re.compile(rf"(?<![\w.'’-])({_SURNAME}, ?(?:{_NAMEPART}|[{_L}]\.)(?: [{_L}]\.)?)(?![\w])"),
+    re.compile(rf"{_SURNAME} (?:[{_L}]\. ?)?{_SURNAME}(?![\w])"),
+    re.compile(rf"[{_L}]\. ?(?:[{_L}]\. ?)?{_SURNAME}(?![\w])"),
+    re.compile(rf"{_SURNAME}, ?(?:{_NAMEPART}|[{_L}]\.)(?: [{_L}]\.)?(?![\w])"),
 )
-
-#: The JVM pattern all candidates satisfy, on raw text.
-_SEP = r"(?: |\+|\.|-|/|\(|\)|%[0-9A-Fa-f]{2}|%25[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[ ‐-―]|&#?\w{1,6};)"
-_BLANK = r"(?: |\+|,|%20|%2[bBcC]|%25[0-9A-Fa-f]{2}| |&#?\w{1,6};|\\u[0-9A-Fa-f]{4})"
-_WORDS = "|".join(sorted({re.escape(w) for w in f"{STREETS} {ROADS} {CALLES}".split()}))
+_CAPITAL = re.compile(rf"[{_L}]")
+_SEVEN = re.compile(r"\d(?:[^\dA-Za-z]{0,3}\d){6}")
+_FOUR = re.compile(r"\d{4}[ -]?[A-Za-z](?![A-Za-z0-9])")
+_NUMBERED = re.compile(r"\d[A-Za-z]?,? [A-Z]")
+_SPELT_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
+_ROADS, _CALLES, _STEMS = ROADS.split(), CALLES.split(), STEMS.split()
+
+#: The JVM pattern all candidates satisfy, on raw text. Its branches begin with a character of few places, and look back from there.
+_SEP = r"(?:[ +./()\-\xa0\u2010-\u2015\u202f]|%(?:25)?[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|&#?\w{1,6};)"
+_BLANK = r"(?:[ +,\xa0]|%(?:25)?[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|&#?\w{1,6};)"
+_BEHIND = r"(?: |\xa0|%|%25|\+|\\u|&#?|&nbsp;)?"
+_STEM = r"stra(?:ß|ss|%C3%9F|%25C3%259F|\\u00df|&szlig;|&#223;)e|str\.|weg|gasse|platz|allee|damm|ufer|ring|steig"
 CANDIDATE = "|".join((
-    r"@|%40|%2540|\\u0040|&#64;|&#x40;|(?i:(?:[\[({]|%5[bB]|%28|%7[bB])(?: |%20|\+)?at(?: |%20|\+)?(?:[\])}]|%5[dD]|%29|%7[dD]))",
-    rf"(?:^|[^A-Za-z0-9]|%[0-9A-Fa-f]{{2}}|\\u[0-9A-Fa-f]{{4}})\d(?:{_SEP}{{0,3}}\d){{6}}",
-    r"(?:^|[^A-Za-z0-9]|%[0-9A-Fa-f]{2})[A-Za-z]{5}" + rf"{_SEP}?\d{{4}}{_SEP}?[A-Za-z](?:$|[^A-Za-z0-9])",
-    rf"(?i:(?:^|[^a-z]|%[0-9a-f]{{2}})(?:{_WORDS})(?:$|[^a-z]))",
-    r"(?i:(?:stra(?:ß|ss|%C3%9F|%25C3%259F|\\u00df|&szlig;|&#223;)e|str\.|weg|gasse|platz|allee|damm|ufer|ring|steig)" + rf"{_SEP}?\d)",
-    rf"[{_L}][\w'’-]*\.?{_BLANK}{{1,3}}[{_L}]",
-    rf"(?:^|[^\w]|%[0-9A-Fa-f]{{2}})[{_L}]\.[{_L}]",
+    r"@|%(?:25)?40|\\u0040|&#(?:64|x40);|(?:[\[({]|%(?:5[bB]|28|7[bB]))(?: |%20|\+)?(?:at|AT|At)(?: |%20|\+)?(?:[\])}]|%(?:5[dD]|29|7[dD]))",
+    r"(?=\d)(?:"
+    + rf"(?:(?<![A-Za-z0-9])|(?<=%[0-9A-Fa-f]{{2}})|(?<=\\u[0-9A-Fa-f]{{4}}))\d(?:{_SEP}{{0,3}}\d){{6}}"
+    + rf"|\d{{4}}{_SEP}?[A-Za-z](?![A-Za-z0-9])(?<=[A-Za-z]{{5}}(?:[ \-+]|%20)?\d{{4}}{_SEP}?[A-Za-z])"
+    + rf"|\d[A-Za-z]?{_BLANK}{{1,4}}(?:[A-Z]|(?i:(?:bis|ter)?{_BLANK}{{0,3}}(?:{_alt(ROADS)})))"
+    + ")",
+    rf"(?i:(?=[adgprsuw])(?:{_STEM}){_BEHIND}\d)",
+    rf"(?=[{_L}])(?:[{_L}][\w'’-]*+\.?{_BLANK}{{1,3}}[{_L}]|(?<![\w])[{_L}]\.[{_L}])",
+    rf"(?i:(?<![a-z])(?=[caprtv])(?:{_alt(CALLES)}){_BLANK})",
 ))
 
+#: What any text that satisfies the pattern has: a first, cheap test. All branches need a capital, a sign of an address or an escape, seven digits, or digits as in a permanent account number.
+HINT = r"[A-Z@%&\\(\[{]|[^\x00-\x7f]|\d(?:[ +./\-]{0,3}\d){6}|\d{4}[ \-]?[a-z](?![a-z0-9])"
+
 # ---------------------------------------------------------------- features
 
 _D = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9]]
@@ -194,15 +207,23 @@ KEYS = {
 }
 PHONE_CUE = frozenset("call back ring phone tel tel: mobile number left reached via unter au on them fax callback courier client under dial".split())
 ID_CUE = frozenset("ssn id tax pan aadhaar identity against document kyc typed ausweisnummer number no file applicant".split())
-_BEFORE = re.compile(r"([\w/]+)[\s:.,;='\"()>\[]*$")
-_KEY = re.compile(r"([A-Za-z][\w.-]{0,30})[\"']?\s*[=:>\x1f/][\"'\s]*$")
 _DATE = re.compile(r"^(?:19|20)\d\d[-/. ](?:0?[1-9]|1[0-2])[-/. ](?:[0-2]?\d|3[01])(?!\d)")
 
 
+def _tail(left: str, extra: str) -> str:
+    """The run of letters, digits and ``extra`` at the end."""
+    i = len(left)
+    while i and (left[i - 1].isalnum() or left[i - 1] in extra):
+        i -= 1
+    return left[i:].lower()
+
+
 def _near(text: str, start: int) -> tuple[str, str]:
+    """The word before a place, and the key if what stands before is ``key=``, ``"key": "``, ``<key>``, a header name or a path segment."""
     left = text[max(0, start - 40) : start]
-    word = m[1].lower() if (m := _BEFORE.search(left)) else ""
-    key = m[1].lower() if (m := _KEY.search(left)) else ""
+    word = _tail(left.rstrip(" \t\n\r:.,;='\"()>["), "_/")
+    at = left.rstrip("\"' \t\n\r")
+    key = _tail(at[:-1].rstrip("\"' \t\n\r"), "_.-") if at and at[-1] in "=:>\x1f/" else ""
     return word, key
 
 
@@ -344,12 +365,13 @@ def _name(text: str, a: int, b: int, way: int) -> list[str]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
-    """All candidate spans (start, end, type, features)."""
+    """All candidate spans (start, end, type, features). Cheap tests spare the patterns that cannot match."""
     out = []
-    if "@" in text or re.search(r"[\[({]\s?at\s?[\])}]", text, re.I):
+    low = text.lower()
+    if "@" in text or _SPELT_AT.search(text):
         for m in EMAIL.finditer(text):
             out.append((m.start(), m.end(), "email", _email(text, m.start(), m.end())))
-    for m in GROUPS.finditer(text):
+    for m in GROUPS.finditer(text) if _SEVEN.search(text) else ():
         if sum(map(str.isdigit, m[0])) < 7:
             continue
         gs = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m[0])]
@@ -360,18 +382,22 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
                     break
                 for kind, f in _numbers(text, a, b, i > 0 or j < len(gs) - 1).items():
                     out.append((a, b, kind, f))
-    for m in PAN.finditer(text):
-        out.append((m.start(), m.end(), "national_id", _pan(text, m.start(), m.end())))
+    if _FOUR.search(text):
+        for m in PAN.finditer(text):
+            out.append((m.start(), m.end(), "national_id", _pan(text, m.start(), m.end())))
+    may = (_NUMBERED.search(text), any(w in low for w in _STEMS), any(f" {w} " in low for w in _ROADS), any(w in low for w in _CALLES))
     for way, p in enumerate(ADDRESS):
-        for m in p.finditer(text):
+        for m in p.finditer(text) if may[way] else ():
             if m.end() - m.start() <= LONGEST:
                 out.append((m.start(), m.end(), "street_address", _address(text, m.start(), m.end(), way)))
-    for way, p in enumerate(NAME):
-        pos = 0
-        while m := p.search(text, pos):
-            if m.end(1) - m.start(1) <= LONGEST:
-                out.append((m.start(1), m.end(1), "person_name", _name(text, m.start(1), m.end(1), way)))
-            pos = m.start(1) + 1
+    for c in _CAPITAL.finditer(text):
+        a = c.start()
+        if a and (text[a - 1].isalnum() or text[a - 1] in "_.'’-"):
+            continue
+        for way, p in enumerate(NAME):
+            m = p.match(text, a)
+            if m and m.end() - a <= LONGEST:
+                out.append((a, m.end(), "person_name", _name(text, a, m.end(), way)))
     return out
 
 
@@ -454,14 +480,19 @@ FIELD, PAIR = "\x1e", "\x1f"
 
 
 def joined(m: Column) -> Column:
-    """Names and values of a map as one text."""
-    return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(PAIR), F.coalesce(e["value"], F.lit("")))), FIELD)
+    """Names and values of a map as one text, without entries that have no hint of a candidate."""
+    hinted = F.filter(F.map_entries(m), lambda e: e["value"].rlike(HINT) | e["key"].rlike(HINT))
+    return F.array_join(F.transform(hinted, lambda e: F.concat(e["key"], F.lit(PAIR), F.coalesce(e["value"], F.lit("")))), FIELD)
+
+
+def hinted(c: Column) -> Column:
+    return c.rlike(HINT) & c.rlike(CANDIDATE)
 
 
 def fields(t: DataFrame, ident: str = "txn_id") -> DataFrame:
     """(id, field, text) of the four fields, those without any candidate left out."""
     all_ = F.array(*(F.struct(F.lit(n).alias("field"), c.alias("text")) for n, c in (("body", F.col("req_body")), ("path", F.col("req_path")), ("query", joined(F.col("req_query"))), ("headers", joined(F.col("req_headers"))))))
-    return t.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.explode(all_).alias("f")).select("id", "f.field", "f.text").where(F.col("text").rlike(CANDIDATE))
+    return t.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.explode(all_).alias("f")).select("id", "f.field", "f.text").where(hinted(F.col("text")))
 
 
 @lru_cache(1 << 15)
@@ -518,6 +549,6 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redacted(t: DataFrame, ident: str = "txn_id") -> DataFrame:
     """(id, req_path, req_body, req_query, req_headers) of every row, findings replaced."""
-    hit = [c.rlike(CANDIDATE).alias(f"_{k}") for k, c in enumerate((F.col("req_path"), F.col("req_body"), joined(F.col("req_query")), joined(F.col("req_headers"))))]
+    hit = [hinted(c).alias(f"_{k}") for k, c in enumerate((F.col("req_path"), F.col("req_body"), joined(F.col("req_query")), joined(F.col("req_headers"))))]
     rows = t.select(F.col(ident).cast("long").alias("id"), "req_path", "req_body", "req_query", "req_headers", *hit)
     return rows.mapInArrow(_redacted, "id long, req_path string, req_body string, req_query map<string,string>, req_headers map<string,string>")

@@ -10,7 +10,7 @@ WEIGHTS: dict[str, float] = {
     "national_id:324": -0.661,
     "national_id:444": -0.649,
     "national_id:bias": 0.145,
-    "national_id:checked": 3.505,
+    "national_id:checked": 3.504,
     "national_id:cue": 1.133,
     "national_id:invalid": -4.704,
     "national_id:key": 3.14,
@@ -18,58 +18,58 @@ WEIGHTS: dict[str, float] = {
     "national_id:pan": 3.567,
     "national_id:pan_type": 3.567,
     "national_id:part": -4.668,
-    "national_id:unchecked": -6.45,
-    "national_id:valid": 5.418,
-    "person_name:before_noun": -0.927,
-    "person_name:before_number": -1.819,
-    "person_name:bias": -0.902,
-    "person_name:cue": 5.505,
-    "person_name:first_ending": -0.597,
-    "person_name:first_given": 0.694,
-    "person_name:first_noun": -3.836,
-    "person_name:hyphen": 1.685,
-    "person_name:initial": 1.732,
-    "person_name:key": 4.313,
-    "person_name:last_ending": 2.244,
-    "person_name:last_given": -0.72,
-    "person_name:last_noun": -6.661,
-    "person_name:mixed": -0.546,
-    "person_name:other_key": -2.553,
-    "person_name:unknown": -0.766,
-    "person_name:upper": 1.334,
-    "person_name:way0": -0.648,
-    "person_name:way1": -1.465,
-    "person_name:way2": 1.029,
-    "phone:22222": 2.587,
-    "phone:334": 5.468,
-    "phone:344": 2.178,
-    "phone:bare": -3.59,
-    "phone:bias": -0.682,
-    "phone:code_shape": -4.891,
-    "phone:cue": 3.88,
-    "phone:date": -3.278,
-    "phone:key": 3.283,
-    "phone:n10": 0.253,
-    "phone:n11": 1.86,
-    "phone:n12": 0.19,
-    "phone:n13": 1.998,
-    "phone:n7": -4.743,
-    "phone:n8": -4.963,
-    "phone:n9": -4.071,
-    "phone:one_group": -5.925,
-    "phone:other_key": 1.561,
-    "phone:paren": 2.05,
-    "phone:part": -4.816,
-    "phone:plus": 3.808,
-    "phone:zero": -0.056,
-    "phone:zeros": 1.851,
-    "street_address:bias": 2.646,
-    "street_address:capital": 2.646,
-    "street_address:cue": 2.13,
-    "street_address:key": 1.719,
-    "street_address:other_key": 1.279,
-    "street_address:way0": 1.766,
-    "street_address:way1": 1.834,
-    "street_address:way2": 1.503,
-    "street_address:way3": 1.779,
+    "national_id:unchecked": -6.451,
+    "national_id:valid": 5.419,
+    "person_name:before_noun": -0.885,
+    "person_name:before_number": -1.836,
+    "person_name:bias": -0.898,
+    "person_name:cue": 5.445,
+    "person_name:first_ending": -0.593,
+    "person_name:first_given": 0.783,
+    "person_name:first_noun": -3.912,
+    "person_name:hyphen": 1.662,
+    "person_name:initial": 1.679,
+    "person_name:key": 4.682,
+    "person_name:last_ending": 2.27,
+    "person_name:last_given": -0.746,
+    "person_name:last_noun": -6.591,
+    "person_name:mixed": -0.548,
+    "person_name:other_key": -2.616,
+    "person_name:unknown": -0.785,
+    "person_name:upper": 1.287,
+    "person_name:way0": -0.655,
+    "person_name:way1": -1.42,
+    "person_name:way2": 0.979,
+    "phone:22222": 2.708,
+    "phone:334": 5.586,
+    "phone:344": 2.222,
+    "phone:bare": -3.62,
+    "phone:bias": -0.617,
+    "phone:code_shape": -4.889,
+    "phone:cue": 3.744,
+    "phone:date": -3.301,
+    "phone:key": 3.83,
+    "phone:n10": 0.233,
+    "phone:n11": 1.918,
+    "phone:n12": 0.254,
+    "phone:n13": 1.958,
+    "phone:n7": -4.705,
+    "phone:n8": -4.937,
+    "phone:n9": -4.123,
+    "phone:one_group": -5.908,
+    "phone:other_key": 1.442,
+    "phone:paren": 2.118,
+    "phone:part": -4.902,
+    "phone:plus": 3.851,
+    "phone:zero": -0.033,
+    "phone:zeros": 1.877,
+    "street_address:bias": 2.641,
+    "street_address:capital": 2.641,
+    "street_address:cue": 2.068,
+    "street_address:key": 1.787,
+    "street_address:other_key": 1.311,
+    "street_address:way0": 1.763,
+    "street_address:way1": 1.798,
+    "street_address:way2": 1.51,
+    "street_address:way3": 1.798,
 }
