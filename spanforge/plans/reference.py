@@ -693,3 +693,107 @@ def schema_validation(spark, d):
     wrap = lambda h, batch: F.concat(F.lit('{"MsgHeader":'), F.to_json(h), F.lit(',"Batch":'), batch, F.lit("}"))
     body = F.when(k == 0, wrap(head(seq), none)).when(k == 1, F.lit('{"Batch":[]}')).when(k == 2, F.lit('{"events":[]}')).when(k == 3, wrap(head(F.lit("x")), none)).when(k == 4, F.lit('{"MsgHeader":')).otherwise(wrap(head(seq), F.lit("[{}]")))
     return table(spark, d, "wire_messages").select("delivery_id", wire.rejection(body).alias("reason"))
+
+
+# ---------------------------------------------------------------- decoders and streams
+
+def _chunked(spark, d):
+    """Each transaction as a connection of two chunks, cut at a place its number tells."""
+    h = _heads(spark, d).where("head is not null").withColumn("b", F.encode("head", "UTF-8"))
+    cut = (F.col("txn_id") % F.octet_length("b")).cast("int")
+    parts = F.array(F.struct(F.lit(0).alias("k"), F.substring("b", F.lit(1), cut).alias("payload")), F.struct(F.lit(1).alias("k"), F.substring("b", cut + 1, F.octet_length("b")).alias("payload")))
+    return h.select(F.concat_ws("-", "txn_id", "delivery_id").alias("conn"), F.lit(0).cast("byte").alias("direction"), F.explode(parts).alias("p")).select("conn", "direction", "p.*", F.lit(False).alias("cut"))
+
+
+@query("http1_decode", "SELECT txn_id || '-' || delivery_id AS conn, req_method AS method, req_path AS target, coalesce(strlen(req_body), 0) AS body_total, 'a, b' AS tag, true AS complete FROM transactions")
+def http1_decode(spark, d):
+    from spanforge.sources.chunks import decode_http1
+
+    m = decode_http1(_chunked(spark, d), ["k"])
+    return m.select("conn", "method", "target", "body_total", F.col("headers")["x-tag"].alias("tag"), "complete")
+
+
+def _bytes(spark, d, make, cols):
+    """Bytes made of each transaction by a plain function of columns."""
+    import pandas as pd
+
+    t = table(spark, d, "transactions").select("txn_id", "delivery_id", *cols)
+    run = F.pandas_udf(lambda *s: pd.Series([make(*x) for x in zip(*s)]), "binary")
+    return t.withColumn("bytes", run(*cols))
+
+
+def _h2_bytes(path, body):
+    from spanforge.sources.decode import fields, frames
+
+    block = fields.hpack_encode([(":method", "POST"), (":path", path or "/"), ("x-a", "1")], index=True)
+    data = (body or "").encode()
+    return frames.PREFACE + frames.h2_frame(frames.SETTINGS, 0, 0, b"") + frames.h2_frame(frames.HEADERS, 0, 1, block[:5]) + frames.h2_frame(frames.CONTINUATION, 4, 1, block[5:]) + frames.h2_frame(frames.DATA, 1, 1, data)
+
+
+@query("http2_decode", "SELECT txn_id, delivery_id, 1 AS stream, 'POST' AS method, req_path AS path, CAST(coalesce(strlen(req_body), 0) AS BIGINT) AS body_total FROM transactions")
+def http2_decode(spark, d):
+    from spanforge.sources.chunks import http2
+
+    t = _bytes(spark, d, _h2_bytes, ["req_path", "req_body"])
+    return t.select("txn_id", "delivery_id", F.explode(http2("bytes")).alias("m")).select("txn_id", "delivery_id", "m.stream", "m.method", "m.path", "m.body_total")
+
+
+def _grpc_bytes(txn, path):
+    def number(v):
+        out = b""
+        while v > 127:
+            out, v = out + bytes([v & 127 | 128]), v >> 7
+        return out + bytes([v])
+
+    raw = (path or "").encode()
+    body = b"\x08" + number(txn) + b"\x12" + number(len(raw)) + raw + b"\x1d\x01\x00\x00\x00"
+    return b"\0" + len(body).to_bytes(4, "big") + body
+
+
+@query("grpc_fields", """SELECT txn_id, delivery_id, 1 AS number, 0 AS kind, CAST(txn_id AS VARCHAR) AS value FROM transactions UNION ALL SELECT txn_id, delivery_id, 2, 2, '"' || substr(req_path, 1, 128) || '"' FROM transactions UNION ALL SELECT txn_id, delivery_id, 3, 5, '0x00000001' FROM transactions""")
+def grpc_fields(spark, d):
+    from spanforge.sources.chunks import grpc
+
+    t = table(spark, d, "transactions").select("txn_id", "delivery_id", "req_path")
+    import pandas as pd
+
+    made = F.pandas_udf(lambda a, b: pd.Series([_grpc_bytes(x, y) for x, y in zip(a, b)]), "binary")
+    return t.select("txn_id", "delivery_id", F.explode(grpc(made("txn_id", "req_path"))).alias("f")).select("txn_id", "delivery_id", "f.*")
+
+
+def _ws_bytes(path):
+    raw, mask = (path or "").encode(), b"\x01\x02\x03\x04"
+    n = bytes([128 | len(raw)]) if len(raw) < 126 else bytes([128 | 126]) + len(raw).to_bytes(2, "big")
+    return b"\x81" + n + mask + bytes(b ^ mask[k & 3] for k, b in enumerate(raw))
+
+
+@query("websocket_frames", "SELECT txn_id, delivery_id, true AS fin, 'text' AS opcode, CAST(strlen(req_path) AS BIGINT) AS length, req_path AS text FROM transactions")
+def websocket_frames(spark, d):
+    from spanforge.sources.chunks import websocket
+
+    t = _bytes(spark, d, _ws_bytes, ["req_path"])
+    return t.select("txn_id", "delivery_id", websocket("bytes").alias("f")).select("txn_id", "delivery_id", "f.fin", "f.opcode", "f.length", F.col("f.payload").cast("string").alias("text"))
+
+
+def _h3_bytes(path):
+    raw = (path or "/").encode()[:60]
+    block = b"\0\0" + bytes([0xC0 | 20, 0xC0 | 23, 0x50 | 1]) + bytes([len(raw)]) + raw
+    return b"\x04\0" + b"\x01" + bytes([len(block)]) + block if len(block) < 64 else b"\x04\0\x01" + (0x4000 | len(block)).to_bytes(2, "big") + block
+
+
+@query("http3_headers", "SELECT txn_id, delivery_id, 'POST' AS method, 'https' AS scheme, substr(req_path, 1, 60) AS path FROM transactions WHERE strlen(req_path) = length(req_path)")
+def http3_headers(spark, d):
+    from spanforge.sources.chunks import http3
+
+    t = _bytes(spark, d, _h3_bytes, ["req_path"]).where("octet_length(req_path) = length(req_path)")
+    return t.select("txn_id", "delivery_id", http3("bytes").alias("h")).select("txn_id", "delivery_id", F.col("h")[":method"].alias("method"), F.col("h")[":scheme"].alias("scheme"), F.col("h")[":path"].alias("path"))
+
+
+@query("stream_pairing")
+def stream_pairing(spark, d):
+    """Views and clicks paired with purchases and errors per user, with time to live, as a stream; sign-ups close."""
+    from spanforge.streaming.pairing import pair_stored
+
+    kind = F.when(F.col("event_type").isin("view", "click"), "request").when(F.col("event_type").isin("purchase", "error"), "response").otherwise("close")
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("conn"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_id").alias("id"))
+    return pair_stored(e, ttl_ms=6 * 3_600_000)
