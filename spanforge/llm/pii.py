@@ -137,9 +137,9 @@ _BLANK = r"(?:[ +,\xa0]|%(?:25)?[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|&#?\w{1,6};)"
 _BEHIND = r"(?: |\xa0|%|%25|\+|\\u|&#?|&nbsp;)?"
 _STEM = r"stra(?:ß|ss|%C3%9F|%25C3%259F|\\u00df|&szlig;|&#223;)e|str\.|weg|gasse|platz|allee|damm|ufer|ring|steig"
 CANDIDATE = "|".join((
-    r"@|%(?:25)?40|\\u0040|&#(?:64|x40);|(?:[\[({]|%(?:5[bB]|28|7[bB]))(?: |%20|\+)?(?:at|AT|At)(?: |%20|\+)?(?:[\])}]|%(?:5[dD]|29|7[dD]))",
+    r"@|%(?:25)?40|\\u0040|&#(?:64|x40);|(?:[\[({]|%(?:25)?(?:5[bB]|28|7[bB]))(?: |%(?:25)?20|\+)?(?:at|AT|At|aT)(?: |%(?:25)?20|\+)?(?:[\])}]|%(?:25)?(?:5[dD]|29|7[dD]))",
     r"(?=\d)(?:"
-    + rf"(?:(?<![A-Za-z0-9])|(?<=%[0-9A-Fa-f]{{2}})|(?<=\\u[0-9A-Fa-f]{{4}}))\d(?:{_SEP}{{0,3}}\d){{6}}"
+    + rf"(?:(?<![A-Za-z0-9])|(?<=%[0-9A-Fa-f]{{2}})|(?<=%25[0-9A-Fa-f]{{2}})|(?<=\\u[0-9A-Fa-f]{{4}}))\d(?:{_SEP}{{0,3}}\d){{6}}"
     + rf"|\d{{4}}{_SEP}?[A-Za-z](?![A-Za-z0-9])(?<=[A-Za-z]{{5}}(?:[ \-+]|%20)?\d{{4}}{_SEP}?[A-Za-z])"
     + rf"|\d[A-Za-z]?{_BLANK}{{1,4}}(?:[A-Z]|(?i:(?:bis|ter)?{_BLANK}{{0,3}}(?:{_alt(ROADS)})))"
     + ")",

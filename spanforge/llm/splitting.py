@@ -67,14 +67,23 @@ def split(df: DataFrame, text: str, size: str | None = None, limit: int = 512, o
     n = F.coalesce(F.col(f"`{size}`").cast("long"), token_count(t)) if size else token_count(t)
     whole = F.array(F.struct(F.lit(0).alias("no"), F.lit(0).alias("start"), n.cast("int").alias("end"), n.cast("int").alias("n_tokens"), t.alias("text")))
     small = df.where(t.isNotNull() & (n <= limit)).withColumn("piece", F.explode(whole))
-    big = df.where(t.isNotNull() & (n > limit)).withColumn("_units", F.regexp_extract_all(t, F.lit(UNIT), 0))
-    big = big.withColumn("_taken", F.transform(F.regexp_extract_all(F.array_join(F.transform("_units", boundary), ""), F.lit(cut_pattern(limit, overlap)), 0), F.length))
-    big = big.withColumn("_ends", F.aggregate("_taken", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
+    units, taken, ends = (_free(df, x) for x in ("_units", "_taken", "_ends"))
+    big = df.where(t.isNotNull() & (n > limit)).withColumn(units, F.regexp_extract_all(t, F.lit(UNIT), 0))
+    big = big.withColumn(taken, F.transform(F.regexp_extract_all(F.array_join(F.transform(units, boundary), ""), F.lit(cut_pattern(limit, overlap)), 0), F.length))
+    big = big.withColumn(ends, F.aggregate(taken, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
 
-    def piece(taken: Column, no: Column) -> Column:
-        start = F.greatest(F.lit(0), F.get(F.col("_ends"), no) - F.when(no > 0, overlap).otherwise(0))
-        end = F.get(F.col("_ends"), no + 1)
-        return F.struct(no.alias("no"), start.alias("start"), end.alias("end"), (end - start).alias("n_tokens"), F.array_join(F.slice("_units", start + 1, end - start), "").alias("text"))
+    def piece(_: Column, no: Column) -> Column:
+        start = F.greatest(F.lit(0), F.get(F.col(ends), no) - F.when(no > 0, overlap).otherwise(0))
+        end = F.get(F.col(ends), no + 1)
+        return F.struct(no.alias("no"), start.alias("start"), end.alias("end"), (end - start).alias("n_tokens"), F.array_join(F.slice(units, start + 1, end - start), "").alias("text"))
 
-    big = big.withColumn("piece", F.explode(F.transform("_taken", piece))).drop("_units", "_taken", "_ends")
+    big = big.withColumn("piece", F.explode(F.transform(taken, piece))).drop(units, taken, ends)
     return small.unionByName(big)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A name no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

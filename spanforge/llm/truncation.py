@@ -98,7 +98,7 @@ def judged(transactions: DataFrame, chunks: DataFrame, overrule: bool = True) ->
         word_list(plain(F.col("req_body"), F.col("kind").endswith("x-www-form-urlencoded"))).alias("words"),
     )
     counts = stored(trigram_counts(texts), "trigrams")
-    last = texts.select("txn_id", "capture_source", "direction", "kind", "by_header", "whole", "by_syntax", *(F.element_at("words", -k).alias(c) for k, c in ((3, "a"), (2, "b"), (1, "c"))))
+    last = texts.select("txn_id", "capture_source", "direction", "kind", "by_header", "whole", "by_syntax", *(F.try_element_at("words", F.lit(-k)).alias(c) for k, c in ((3, "a"), (2, "b"), (1, "c"))))
     flagged = cut_endings(counts).withColumn("by_text", F.lit(True))
     # JSON and XML end by their syntax, which decides; the trigram speaks for all other texts
     free = ~(F.col("kind").endswith("json") | F.col("kind").endswith("xml"))
