@@ -52,9 +52,9 @@ def envelopes(rows: DataFrame, batch: str, tenant: Column, policy: Column, now_m
     """One JSON envelope a batch: header and the batch's rows, which the packer has bounded."""
     body = [c for c in rows.columns if c not in (batch, "_tenant", "_policy", "_now")]
     r = rows.withColumns({"_tenant": tenant, "_policy": policy, "_now": now_ms})
-    g = r.groupBy(batch).agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in body))).alias("Batch"), F.min("_tenant").alias("t"), F.min("_policy").alias("p"), F.max("_now").alias("n"))
+    g = r.groupBy(batch).agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in body))).alias("_rows"), F.min("_tenant").alias("t"), F.min("_policy").alias("p"), F.max("_now").alias("n"))
     head = F.struct(F.lit("2.0").alias("Version"), misc.message_time(F.col("n")).alias("MessageTime"), F.col("t").alias("TenantId"), F.col(batch).cast("long").alias("Sequence"), misc.opc_id(F.col("n"), F.col(batch)).alias("InternalOPCID"), F.col("p").alias("PolicyVersion"))
-    return g.select(batch, F.to_json(F.struct(head.alias("MsgHeader"), "Batch")).alias("envelope"))
+    return g.select(batch, F.to_json(F.struct(head.alias("MsgHeader"), F.col("_rows").alias("Batch"))).alias("envelope"))
 
 
 def pack(rows: DataFrame, by: str, order: list[str], size: str, most_events: int = 200, most_bytes: int = 4 << 20) -> DataFrame:
