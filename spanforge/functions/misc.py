@@ -90,3 +90,21 @@ def rpc_call(text: Column) -> Column:
     return F.struct(
         F.get_json_object(text, "$.method").alias("method"), F.get_json_object(text, "$.params.name").alias("tool"), any_of(text, INJECTION).alias("has_injection"), all_of(text, PERMISSION).alias("permission_flags"),
     )
+
+
+def service_name(labels_: Column) -> Column:
+    """The service a container's labels name."""
+    return F.coalesce(labels_["app.kubernetes.io/name"], labels_["app"])
+
+
+def ipv6(hex_text: Column) -> Column:
+    """The shortest form of 32 hex digits: the longest run of two or more zero groups becomes ``::``."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.lower(F.substring(hex_text, k * 4 + 1, F.lit(4))), "^0{1,3}", ""))
+    full = F.array_join(groups, ":")
+    out = full
+    for n in range(8, 1, -1):
+        run = rf"(?<![0-9a-f])0(:0){{{n - 1}}}(?![0-9a-f])"
+        longer = F.lit(False) if n == 8 else full.rlike(rf"(?<![0-9a-f])0(:0){{{n},}}(?![0-9a-f])")
+        short = F.regexp_replace(F.regexp_replace(F.regexp_replace(full, rf"^(.*?):?{run}:?(.*)$", "$1::$3"), "^:::", "::"), ":::", "::")
+        out = F.when(full.rlike(run) & ~longer, short).otherwise(out)
+    return F.when(hex_text.rlike("^[0-9A-Fa-f]{32}$"), out)

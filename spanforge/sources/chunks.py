@@ -41,7 +41,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 rows += [row(m) for m in stream.feed(payload or b"")]
             except Malformed as e:
-                rows.append(row(None, str(e)))
+                rows += [row(m) for m in e.messages] + [row(None, str(e))]
                 stream.resync()
             if cut:
                 rows += [row(m, "gap") for m in stream.end()]
@@ -75,11 +75,12 @@ def grpc(message: str):
 
 
 def websocket(frame: str):
+    """fin, opcode, length, payload and total of a frame; null if its head is cut."""
     def one(b):
         f = frames.ws_frame(b or b"")
-        return f or {"fin": None, "opcode": None, "length": None, "payload": None, "total": None}
+        return [f] if f else []
 
-    return F.pandas_udf(lambda s: pd.DataFrame([one(b) for b in s], columns=["fin", "opcode", "length", "payload", "total"]), "fin boolean, opcode string, length long, payload binary, total long")(frame)
+    return F.get(F.pandas_udf(lambda s: s.map(one), "array<struct<fin:boolean,opcode:string,length:long,payload:binary,total:long>>")(frame), 0)
 
 
 def http2(data: str):

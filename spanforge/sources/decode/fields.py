@@ -203,7 +203,9 @@ _ENCODE = {s: (n, c) for (n, c), s in HUFFMAN.items()}
 
 
 class Malformed(ValueError):
-    """Bytes that break the format."""
+    """Bytes that break the format; ``messages`` are those that were complete before."""
+
+    messages: tuple = ()
 
 
 def huffman_decode(data: bytes) -> bytes:

@@ -48,8 +48,12 @@ class Stream:
         """``answers`` are the methods the next responses answer, for bodies that HEAD and CONNECT have none of."""
         self.buf += data
         out: list[Message] = []
-        while getattr(self, f"_{self.state}")(out, answers):
-            pass
+        try:
+            while getattr(self, f"_{self.state}")(out, answers):
+                pass
+        except Malformed as e:
+            e.messages = tuple(out)
+            raise
         return out
 
     def end(self) -> list[Message]:

@@ -55,6 +55,12 @@ def test_http1_hostile(bad):
         Stream().feed(bad)
 
 
+def test_messages_before_a_violation_are_not_lost():
+    with pytest.raises(Malformed) as e:
+        Stream().feed(REQUEST + b"!" + REQUEST)
+    assert [m.body for m in e.value.messages] == [b"hello"]
+
+
 def test_hpack_examples_of_the_rfc():
     for text, packed in (("www.example.com", "f1e3c2e5f23a6ba0ab90f4ff"), ("no-cache", "a8eb10649cbf"), ("custom-key", "25a849e95ba97d7f")):
         assert fields.huffman_encode(text.encode()).hex() == packed
