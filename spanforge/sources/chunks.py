@@ -59,7 +59,8 @@ def decode_http1(chunks: DataFrame, order: list[str]) -> DataFrame:
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [r for r in map(frames.chunk_record, b["record"]) if r]
-        yield pd.DataFrame({c: [r[c] for r in rows] for c in ("ts_ns", "pid", "ssl_ptr", "direction", "comm", "flags", "copied_len", "payload")})
+        if rows:
+            yield pd.DataFrame({c: [r[c] for r in rows] for c in ("ts_ns", "pid", "ssl_ptr", "direction", "comm", "flags", "copied_len", "payload")})
 
 
 def read_records(records: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def bodies(files: DataFrame, content: str = "content", most: int = MOST_BYTES) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             both = [inflate(x, most) for x in b[content]]
-            yield b[[f.name for f in rest]].assign(body=[t for t, _ in both], reason=[p for _, p in both])
+            if len(b):
+                yield b[[f.name for f in rest]].assign(body=[t for t, _ in both], reason=[p for _, p in both])
 
     return files.mapInPandas(run, schema).withColumn("reason", F.coalesce("reason", rejection(F.col("body"))))
 
