@@ -35,9 +35,9 @@ STOPS = (".", "!", "?", "。")
 
 
 def plain(body: Column, form: Column) -> Column:
-    """The text as it reads: form encoding undone, digits alike, marks of an ellipsis at the end removed."""
+    """The text as it reads: form encoding undone, digits alike, an ellipsis or replacement characters at the end removed."""
     decoded = F.when(form, F.coalesce(F.try_url_decode(F.regexp_replace(body, r"%(?![0-9A-Fa-f]{2}).{0,1}$", "")), F.translate(body, "+", " "))).otherwise(body)
-    return F.regexp_replace(F.lower(decoded), r"(…|\.\.\.)\s*$", "")
+    return F.regexp_replace(F.lower(decoded), "(…|\\.\\.\\.|\ufffd+)\\s*$", "")
 
 
 def word_list(text: Column) -> Column:
