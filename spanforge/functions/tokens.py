@@ -44,6 +44,7 @@ def luhn(digits: Column) -> Column:
 
 
 def _dihedral() -> tuple[list[int], list[int]]:
+    """Products in the dihedral group of order 10 and the powers of the permutation, by their definitions, as flat lists."""
     def mul(a: int, b: int) -> int:
         return ((a + b) % 5 if b < 5 else 5 + (a + b) % 5) if a < 5 else (5 + (a - b) % 5 if b < 5 else (a - b) % 5)
 
@@ -54,9 +55,20 @@ def _dihedral() -> tuple[list[int], list[int]]:
     return [mul(a, b) for a in range(10) for b in range(10)], [x for r in rows for x in r]
 
 
+MUL, PERM = _dihedral()
+
+
+def verhoeff_valid(text: str) -> bool:
+    """Whether the digits of a text end with a valid Verhoeff check digit."""
+    c = 0
+    for k, d in enumerate(reversed([int(x) for x in text if x.isdigit()])):
+        c = MUL[c * 10 + PERM[k % 8 * 10 + d]]
+    return c == 0
+
+
 def verhoeff(digits: Column) -> Column:
     """Valid Verhoeff check digit, by an array fold over the digits from the right."""
-    mul, perm = (F.array(*(F.lit(x) for x in t)) for t in _dihedral())
+    mul, perm = (F.array(*(F.lit(x) for x in t)) for t in (MUL, PERM))
     at = F.transform(F.split(F.reverse(digits), ""), lambda d: d.try_cast("int"))
     at = F.filter(at, lambda d: d.isNotNull())
     end = F.aggregate(F.arrays_zip(at.alias("d"), F.sequence(F.lit(0), F.size(at) - 1).alias("i")), F.lit(0), lambda c, x: F.get(mul, c * 10 + F.get(perm, F.pmod(x["i"], F.lit(8)) * 10 + x["d"])))

@@ -19,6 +19,8 @@ nothing; groups without identifiers have no row; an empty table gives none.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,30 +45,36 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "dimension", "row").agg(F.bit_or("bits").alias("bits"))
 
 
+def likeliest(c: np.ndarray, m: int = M) -> tuple[np.ndarray, np.ndarray]:
+    """(estimate, standard error) per row of ``c``, the number of bit-matrix rows with each rank's bit set; no bound exists for full matrices."""
+    k = np.arange(RANKS)
+    p = 2.0 ** -np.where(k < RANKS - 1, k + 1, k) / m
+    lo, hi = np.full(len(c), -8.0), np.full(len(c), 60.0)
+
+    def odds(x: np.ndarray) -> np.ndarray:
+        return np.expm1(np.minimum(np.exp2(x)[:, None] * p, 700.0))
+
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        up = (p * (c / odds(mid) - (m - c))).sum(axis=1) > 0
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    n = np.where((c >= m).all(axis=1), np.nan, np.exp2(lo))
+    with np.errstate(invalid="ignore"):
+        return n, 1 / np.sqrt((m * p * p / np.expm1(np.minimum(n[:, None] * p, 700.0))).sum(axis=1))
+
+
 def estimate(sketches: DataFrame, by: list[str], m: int = M, z: float = 2.0) -> DataFrame:
-    """by, dimension, estimate, std_error, low, high (``z`` standard errors around)."""
+    """by, dimension, estimate, std_error, low, high (``z`` standard errors around).
+
+    The counts of set bits are an aggregate in the JVM; the bisection runs over
+    whole batches of groups at once.
+    """
     counts = sketches.groupBy(*by, "dimension").agg(*(F.sum(F.shiftright("bits", k).bitwiseAND(F.lit(1).cast("long"))).alias(f"c{k}") for k in range(RANKS)))
-    c = F.array(*(F.struct(F.col(f"c{k}").cast("double").alias("c"), F.lit(2.0 ** -(k + 1 if k < RANKS - 1 else k) / m).alias("p")) for k in range(RANKS)))
-
-    def slope(n: Column) -> Column:
-        """l'(n) = sum_k p_k (c_k / (exp(n p_k) - 1) - (m - c_k))."""
-        return F.aggregate("c", F.lit(0.0), lambda a, x: a + x["p"] * (x["c"] / F.greatest(F.expm1(F.least(n * x["p"], F.lit(700.0))), F.lit(1e-300)) - (m - x["c"])))
-
-    def information(n: Column) -> Column:
-        """Expected information sum_k m p_k^2 / (exp(n p_k) - 1)."""
-        return F.aggregate("c", F.lit(0.0), lambda a, x: a + m * x["p"] * x["p"] / F.expm1(F.least(n * x["p"], F.lit(700.0))))
-
-    full = F.forall("c", lambda x: x["c"] >= m)
-    bisected = F.aggregate(
-        F.sequence(F.lit(1), F.lit(36)), F.struct(F.lit(-8.0).alias("lo"), F.lit(52.0).alias("hi")),
-        lambda a, _: _halved(a, slope), lambda a: F.pow(F.lit(2.0), (a["lo"] + a["hi"]) / 2),
-    )
-    found = counts.select(*by, "dimension", c.alias("c")).withColumn("estimate", F.when(~full, bisected))
-    out = found.withColumn("std_error", 1 / F.sqrt(information(F.col("estimate"))))
-    return out.select(*by, "dimension", "estimate", "std_error", F.greatest(F.lit(0.0), F.col("estimate") - z * F.col("std_error")).alias("low"), (F.col("estimate") + z * F.col("std_error")).alias("high"))
 
+    def run(c: pd.Series) -> pd.DataFrame:
+        n, e = likeliest(np.stack(c.to_numpy()) if len(c) else np.empty((0, RANKS)), m)
+        return pd.DataFrame({"n": n, "e": e})
 
-def _halved(a: Column, slope) -> Column:
-    mid = (a["lo"] + a["hi"]) / 2
-    up = slope(F.pow(F.lit(2.0), mid)) > 0
-    return F.struct(F.when(up, mid).otherwise(a["lo"]).alias("lo"), F.when(up, a["hi"]).otherwise(mid).alias("hi"))
+    fit = F.pandas_udf(run, "n double, e double")(F.array(*(F.col(f"c{k}").cast("double") for k in range(RANKS))))
+    out = counts.select(*by, "dimension", fit.alias("fit")).select(*by, "dimension", F.nanvl("fit.n", F.lit(None)).alias("estimate"), F.nanvl("fit.e", F.lit(None)).alias("std_error"))
+    return out.select(*by, "dimension", "estimate", "std_error", F.greatest(F.lit(0.0), F.col("estimate") - z * F.col("std_error")).alias("low"), (F.col("estimate") + z * F.col("std_error")).alias("high"))

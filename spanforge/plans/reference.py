@@ -576,7 +576,7 @@ def luhn_check(spark, d):
 
 
 def _verhoeff_sql(n: str) -> str:
-    mul, perm = tokens._dihedral()
+    mul, perm = tokens.MUL, tokens.PERM
     return f"list_reduce(list_transform(range(0, 12), lambda k: {perm}[CAST(k % 8 * 10 + CAST(substr({n}, CAST(12 - k AS BIGINT), 1) AS INT) + 1 AS BIGINT)]), lambda c, x: {mul}[c * 10 + x + 1], 0) = 0"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,13 @@ class Registry:
 
     def query(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def add(f: Query) -> Query:
-            self.queries[name] = f
+            @wraps(f)
+            def run(spark: SparkSession, folder: str) -> DataFrame:
+                # stored times have no zone and are to be read as UTC
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+                return f(spark, folder)
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return f
