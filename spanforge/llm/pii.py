@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.tokens import verhoeff_valid
 from spanforge.llm.pii_weights import WEIGHTS
 
 TYPES = ("email", "phone", "national_id", "street_address", "person_name")
@@ -153,34 +154,6 @@ HINT = r"[A-Z@%&\\(\[{]|[^\x00-\x7f]|\d(?:[ +./\-]{0,3}\d){6}|\d{4}[ \-]?[a-z](?
 
 # ---------------------------------------------------------------- features
 
-_D = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9]]
-
-
-def _verhoeff_tables() -> tuple[list[list[int]], list[list[int]]]:
-    """Dihedral group of order 10 and the powers of the permutation, from their definitions."""
-    def mul(a: int, b: int) -> int:
-        if a < 5:
-            return (a + b) % 5 if b < 5 else 5 + (a + b) % 5
-        return 5 + (a - b) % 5 if b < 5 else (a - b) % 5
-
-    d = [[mul(a, b) for b in range(10)] for a in range(10)]
-    one = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
-    p = [list(range(10))]
-    for _ in range(7):
-        p.append([one[x] for x in p[-1]])
-    return d, p
-
-
-_MUL, _PERM = _verhoeff_tables()
-
-
-def verhoeff(digits: str) -> bool:
-    c = 0
-    for i, x in enumerate(reversed(digits)):
-        c = _MUL[c][_PERM[i % 8][int(x)]]
-    return c == 0
-
-
 #: Common given names of several languages, a feature and not a condition.
 GIVEN = frozenset(
     "anna anton anika ana alice ahmed aisha ben bram beatriz boris carla clara carlos celeste chen daniel dario david diego dora elena elif emma erik eva farid fatima felix "
@@ -293,7 +266,7 @@ def _numbers(text: str, a: int, b: int, inside: bool) -> dict[str, list[str]]:
             ok = digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
             f = ["national_id:324", "national_id:valid" if ok else "national_id:invalid"]
         elif n == 12 and sizes in ([12], [4, 4, 4]) and len(seps) <= 1:
-            f = ["national_id:444", "national_id:checked" if digits[0] in "23456789" and verhoeff(digits) else "national_id:unchecked"]
+            f = ["national_id:444", "national_id:checked" if digits[0] in "23456789" and verhoeff_valid(digits) else "national_id:unchecked"]
         elif n == 9 and sizes == [9]:
             f = ["national_id:nine"]
         if f:

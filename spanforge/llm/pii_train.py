@@ -12,6 +12,8 @@ import random
 from collections import defaultdict
 from pathlib import Path
 
+from spanforge.functions.tokens import verhoeff_valid
+
 SENTENCES = 6000
 EPOCHS = 8
 RATE, DECAY = 0.3, 1e-4
@@ -71,11 +73,9 @@ class Maker:
         return who + at + r.choice(("example.org", "mail.example.net", "corp.example", "Example.Com"))
 
     def aadhaar(self, good: bool) -> str:
-        from spanforge.llm.pii import verhoeff
-
         while True:
             x = self.r.choice("23456789") + self.digits(11)
-            if verhoeff(x) == good:
+            if verhoeff_valid(x) == good:
                 return x
 
     def national_id(self) -> str:

@@ -31,6 +31,8 @@ LEAST_INSIDE = 20
 MOST_TERMINAL = 0.02
 WORD = r"[\p{L}\p{M}]+|\p{N}+(?:[-./: ]\p{N}+)*|[^\p{L}\p{M}\p{N}\s]"
 START = "^"
+#: Flagged endings are broadcast up to this number, about 10 MB; above it the join is shuffled.
+BROADCAST_ENDINGS = 100_000
 STOPS = (".", "!", "?", "。")
 
 
@@ -99,7 +101,9 @@ def judged(transactions: DataFrame, chunks: DataFrame, overrule: bool = True) ->
     )
     counts = stored(trigram_counts(texts), "trigrams")
     last = texts.select("txn_id", "capture_source", "direction", "kind", "by_header", "whole", "by_syntax", *(F.try_element_at("words", F.lit(-k)).alias(c) for k, c in ((3, "a"), (2, "b"), (1, "c"))))
-    flagged = cut_endings(counts).withColumn("by_text", F.lit(True))
+    flagged = stored(cut_endings(counts).withColumn("by_text", F.lit(True)), "endings")
+    if flagged.limit(BROADCAST_ENDINGS + 1).count() <= BROADCAST_ENDINGS:
+        flagged = F.broadcast(flagged)  # so that a hot ending gathers no rows; beyond, the planner splits skewed keys
     # JSON and XML end by their syntax, which decides; the trigram speaks for all other texts
     free = ~(F.col("kind").endswith("json") | F.col("kind").endswith("xml"))
     per = last.join(flagged, ["a", "b", "c"], "left").select("txn_id", "capture_source", "direction", F.coalesce(F.col("by_text") & free & ~(F.lit(overrule) & F.coalesce("whole", F.lit(False))), F.lit(False)).alias("by_text"), F.coalesce("by_header", F.lit(False)).alias("by_header"), "by_syntax", F.lit(False).alias("by_chunk"))
