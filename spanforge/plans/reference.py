@@ -707,9 +707,9 @@ def _chunked(spark, d):
 
 @query("http1_decode", "SELECT txn_id || '-' || delivery_id AS conn, req_method AS method, req_path AS target, coalesce(strlen(req_body), 0) AS body_total, 'a, b' AS tag, true AS complete FROM transactions")
 def http1_decode(spark, d):
-    from spanforge.sources.chunks import decode_http1
+    from spanforge.sources.chunks import decode
 
-    m = decode_http1(_chunked(spark, d), ["k"])
+    m = decode(_chunked(spark, d), ["k"])
     return m.select("conn", "method", "target", "body_total", F.col("headers")["x-tag"].alias("tag"), "complete")
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.sources.decode import frames
+from spanforge.sources.decode.auto import AutoStream
 from spanforge.sources.decode.fields import Malformed
-from spanforge.sources.decode.http1 import Stream
 
 MESSAGES = "conn string, direction byte, n int, method string, target string, status int, headers map<string,string>, body binary, body_total long, complete boolean, problem string"
 
@@ -37,7 +37,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for conn, direction, payload, cut in zip(b["conn"], b["direction"], b["payload"], b["cut"]):
             if key != (conn, direction):
                 rows += [row(m) for m in stream.end()] if stream else []
-                key, stream, n = (conn, direction), Stream(), 0
+                key, stream, n = (conn, direction), AutoStream(), 0
             try:
                 rows += [row(m) for m in stream.feed(payload or b"")]
             except Malformed as e:
@@ -51,8 +51,8 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame([row(m) for m in stream.end()])
 
 
-def decode_http1(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """Messages of (conn, direction, payload, cut) chunks in ``order``; a chunk that is ``cut`` ends what is being read."""
+def decode(chunks: DataFrame, order: list[str]) -> DataFrame:
+    """HTTP/1 and HTTP/2 messages of (conn, direction, payload, cut) chunks in ``order``; a chunk that is ``cut`` ends what is being read."""
     return chunks.repartition("conn", "direction").sortWithinPartitions("conn", "direction", *order).select("conn", "direction", "payload", "cut").mapInPandas(_decode, MESSAGES)
 
 

@@ -1,4 +1,4 @@
-"""HTTP/1 messages out of a stream of chunks, the decoder's state kept between micro-batches.
+"""HTTP/1 and HTTP/2 messages out of a stream of chunks, the decoder's state kept between micro-batches.
 
 The state of a connection's direction is the decoder itself: its unconsumed
 bytes and the message it is building, both bounded. Chunks are taken in order
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanforge.sources.decode.auto import AutoStream
 from spanforge.sources.decode.fields import Malformed
-from spanforge.sources.decode.http1 import METHODS, Stream
+from spanforge.sources.decode.http1 import METHODS
 
 TTL_MS = 300_000
 OUT = "conn string, direction byte, ms long, method string, target string, status int, headers map<string,string>, body binary, body_total long, complete boolean, problem string"
@@ -32,7 +33,7 @@ def _row(key, ms, m, problem=None) -> tuple:
     return (*key, ms, m.method, m.target, m.status, m.headers, m.body, m.body_total, m.complete, problem) if m else (*key, ms, None, None, None, None, None, None, False, problem)
 
 
-def walk(key: tuple, decoder: Stream, last: int | None, skipping: bool, chunks: Iterator[tuple[int, int, bytes, bool]]) -> tuple[int | None, bool, list[tuple]]:
+def walk(key: tuple, decoder: AutoStream, last: int | None, skipping: bool, chunks: Iterator[tuple[int, int, bytes, bool]]) -> tuple[int | None, bool, list[tuple]]:
     """(last sequence, waiting for a start, rows) after (sequence, time, payload, cut) chunks."""
     out: list[tuple] = []
     for seq, ms, data, cut in chunks:
@@ -43,7 +44,7 @@ def walk(key: tuple, decoder: Stream, last: int | None, skipping: bool, chunks:
             decoder.resync()
             skipping = True
         last = seq
-        if skipping and not START.match(data):
+        if skipping and not (decoder.resumable and START.match(data)):
             continue
         skipping = False
         try:
@@ -61,7 +62,7 @@ def walk(key: tuple, decoder: Stream, last: int | None, skipping: bool, chunks:
 
 def _step(ttl_ms: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        decoder, last, seen, skipping = (pickle.loads(state.get[0]), *state.get[1:]) if state.exists else (Stream(), None, 0, False)
+        decoder, last, seen, skipping = (pickle.loads(state.get[0]), *state.get[1:]) if state.exists else (AutoStream(), None, 0, False)
         last = None if last is None or last < 0 else last
         now = state.getCurrentWatermarkMs()
         if state.hasTimedOut:

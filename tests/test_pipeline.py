@@ -11,8 +11,8 @@ from spanforge.operators import transactions as T
 from spanforge.options import Options
 from spanforge.sources import chunks as C
 from spanforge.sources import ingest
-from spanforge.sources.decode import frames
-from spanforge.sources.decode.http1 import Stream
+from spanforge.sources.decode import fields, frames
+from spanforge.sources.decode.auto import AutoStream
 from spanforge.streaming.decode import messages_stream, walk
 from spanforge.streaming.replay import drain, replay
 
@@ -24,7 +24,7 @@ def test_chunks_become_transactions(spark):
     r = b"HTTP/1.1 100 Continue\r\n\r\nHTTP/1.1 201 Created\r\nContent-Length: 2\r\n\r\nok"
     rows = [("c1", 0, k, d) for k, d in enumerate((q[:30], q[30:] + b"GET /b HTTP/1.1\r\nHost: h\r\n\r\n"))] + [("c1", 1, 0, r), ("c2", 0, 0, b"GET /c HTTP/1.1\r\n\r\n")]
     df = spark.createDataFrame([(c, d, k, p, False) for c, d, k, p in rows], "conn string, direction byte, k int, payload binary, cut boolean")
-    m = C.decode_http1(df, ["k"]).withColumns({"ms": F.lit(1000) + F.col("direction") * 50 + F.col("n"), "seq": F.col("n"), "cgroup_id": F.lit(1).cast("long"), "source_ip": F.lit("10.0.0.1"), "dest_ip": F.lit("10.0.0.2"), "source_port": F.lit(1), "dest_port": F.lit(2), "comm": F.lit("nginx\0x")})
+    m = C.decode(df, ["k"]).withColumns({"ms": F.lit(1000) + F.col("direction") * 50 + F.col("n"), "seq": F.col("n"), "cgroup_id": F.lit(1).cast("long"), "source_ip": F.lit("10.0.0.1"), "dest_ip": F.lit("10.0.0.2"), "source_port": F.lit(1), "dest_port": F.lit(2), "comm": F.lit("nginx\0x")})
     closed = spark.createDataFrame([("c2",)], "conn string")
     t = T.transactions(T.paired(m), KEY, 10_000_000, closed)
     dim = spark.createDataFrame([(1, "c", "pod", "shop", "n")], "cgroup_id long, container_id string, pod_name string, pod_namespace string, node_name string")
@@ -46,7 +46,7 @@ def test_records_and_framed_columns(spark):
 
 def test_decoder_walks_over_gaps_and_repeats():
     q = b"GET /a HTTP/1.1\r\nHost: h\r\n\r\n"
-    last, skipping, out = walk(("c", 0), Stream(), None, False, iter([(0, 1, q, False), (0, 1, q, False), (1, 2, q[:9], False), (3, 3, b"rest", False), (4, 4, q, False), (5, 5, b"junk\r\n\r\n", False), (6, 6, q, True)]))
+    last, skipping, out = walk(("c", 0), AutoStream(), None, False, iter([(0, 1, q, False), (0, 1, q, False), (1, 2, q[:9], False), (3, 3, b"rest", False), (4, 4, q, False), (5, 5, b"junk\r\n\r\n", False), (6, 6, q, True)]))
     assert [(r[4], r[-1]) for r in out] == [("/a", None), ("/a", None), (None, "first line"), ("/a", None)] and last == 6 and skipping
 
 
@@ -88,3 +88,21 @@ def test_sql_names_and_addresses(spark):
     for a in ("::1", "::", "fe80::1", "2001:db8::ff00:42:8329", "2001:db8:0:1:1:1:1:1", "1:0:0:2:0:0:0:3", "1:2:3:4:5:6:7:8", "1::"):
         h = ipaddress.ip_address(a).exploded.replace(":", "")
         assert spark.createDataFrame([(h,)], "h string").select(misc.ipv6(F.col("h")).alias("r")).first().r == str(ipaddress.ip_address(a))
+
+
+def test_versions_are_told_by_the_first_bytes():
+    q = frames.PREFACE + frames.h2_frame(frames.HEADERS, 5, 1, fields.hpack_encode([(":method", "GET"), (":path", "/x"), (":authority", "h")]))
+    r = frames.h2_frame(frames.SETTINGS, 0, 0, b"") + frames.h2_frame(frames.HEADERS, 4, 1, fields.hpack_encode([(":status", "200")])) + frames.h2_frame(frames.DATA, 1, 1, b"ok")
+    one = b"PUT /p HTTP/1.1\r\nContent-Length: 0\r\n\r\n"
+    for data, want in ((q, ("GET", "/x", None)), (r, (None, None, 200)), (one, ("PUT", "/p", None))):
+        for k in range(len(data)):
+            s = AutoStream()
+            (m,) = s.feed(data[:k]) + s.feed(data[k:])
+            assert (m.method, m.target, m.status) == want and m.complete
+    s = AutoStream()
+    s.feed(r[:-5])
+    assert [m.complete for m in s.end()] == [False]
+    s.resync()
+    assert not s.resumable and s.feed(r) == []
+    s = AutoStream()
+    assert s.feed(b"PR") == [] and s.end() == []
