@@ -23,14 +23,18 @@ def frequencies(messages: DataFrame, ident: list[Column], received: Column, deli
     keys = [c.alias(f"k{i}") for i, c in enumerate(ident)]
     rows = messages.where(delivery.isNotNull()).select(*keys, received.alias("received"), delivery.alias("delivery"))
     rank = F.struct(F.col("received").isNull().alias("late"), F.col("received"), F.col("delivery"))
-    return rows.groupBy(*(f"k{i}" for i in range(len(ident)))).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"), F.max(F.col("delivery")).alias("last"), F.min(F.col("delivery")).alias("least"))
+    return rows.groupBy(*(f"k{i}" for i in range(len(ident)))).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"), F.min(F.col("delivery")).alias("least"))
 
 
 def survivors(messages: DataFrame, ident: list[Column], received: Column, delivery: Column) -> DataFrame:
-    """The one delivery of each identifier that is kept: singletons as they are, of repeated ones the first by rank."""
+    """The one delivery of each identifier that is kept: singletons as they are, of repeated ones the first by rank.
+
+    Both sides of the union need the same columns of the counts, so the planner
+    reads and shuffles the messages once for both.
+    """
     freq = frequencies(messages, ident, received, delivery)
-    single = freq.where("n = 1").select(F.col("least").alias("delivery"))
-    ranked = freq.where("n > 1").select(F.col("first.delivery").alias("delivery"))
+    single = freq.where("n = 1").select(F.coalesce("least", "first.delivery").alias("delivery"))
+    ranked = freq.where("n > 1").select(F.coalesce("first.delivery", "least").alias("delivery"))
     return single.unionByName(ranked)
 
 
