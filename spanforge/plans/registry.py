@@ -7,6 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanforge.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,6 +21,7 @@ class Registry:
         def add(f: Query) -> Query:
             @wraps(f)
             def run(spark: SparkSession, folder: str) -> DataFrame:
+                ship(spark)
                 # stored times have no zone and are to be read as UTC
                 spark.conf.set("spark.sql.session.timeZone", "UTC")
                 return f(spark, folder)

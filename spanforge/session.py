@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +26,24 @@ def build(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSe
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once a context, wherever they start: the driver's sources as an archive."""
+    sc = spark.sparkContext
+    if getattr(sc, "_spanforge_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(sc._temp_dir) / "spanforge.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._spanforge_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
