@@ -132,25 +132,49 @@ _NUMBERED = re.compile(r"\d[A-Za-z]?,? [A-Z]")
 _SPELT_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
 _ROADS, _CALLES, _STEMS = ROADS.split(), CALLES.split(), STEMS.split()
 
+#: An escape that may read as a letter, a digit, an at sign, part of another escape or a character beyond ASCII. Texts with one, with digits beyond ASCII or with the
+#: letters that re.I takes for s, k and i go to Python as they are, so the other branches meet plain characters and escapes of ASCII punctuation only.
+_ODD = r"(?:25|26|5[cC]|[89a-fA-F][0-9a-fA-F]|3[0-9]|4[0-9a-fA-F]|5[0-9aA]|6[1-9a-fA-F]|7[0-9aA])"
+_OPAQUE = (
+    rf"%{_ODD}|\\(?:[\\%&+]|u(?:00{_ODD}|(?!00)[0-9A-Fa-f]{{4}}))",
+    r"&(?:(?!(?:quot|apos|lt|gt|nbsp);)(?:#\w{1,7}|[A-Za-z]{2,6});|[#A-Za-z0-9]{0,7}(?:%|\\u00)(?:23|3[bB]))",
+    "(?=[Ā-\U0010ffff])(?:\\p{Nd}|[ſKİı])",
+)
 #: The JVM pattern all candidates satisfy, on raw text. Its branches begin with a character of few places, and look back from there.
-_SEP = r"(?:[ +./()\-\xa0\u2010-\u2015\u202f]|%(?:25)?[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|&#?\w{1,6};)"
-_BLANK = r"(?:[ +,\xa0]|%(?:25)?[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|&#?\w{1,6};)"
-_BEHIND = r"(?: |\xa0|%|%25|\+|\\u|&#?|&nbsp;)?"
-_STEM = r"stra(?:ß|ss|%C3%9F|%25C3%259F|\\u00df|&szlig;|&#223;)e|str\.|weg|gasse|platz|allee|damm|ufer|ring|steig"
+#: Spark's \w, \d and (?i:) know ASCII only, so letters beyond are named.
+_SEP = r"(?:[ +./()\-\xa0‐-― ]|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\/|&nbsp;)"
+_BLANK = r"(?:[ +,\xa0]|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4})"
+_SPACE = r"(?:[\s\x1c-\x1f\x85\p{Z}+]|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[nrt]|&nbsp;)?"
+_BEHIND = r"(?: |%|\+|\\u)?"
+_BEFORE = r"(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[nrt])"
+_STEM = r"stra(?:[ßẞ]|ss)e|str(?:\.|%2e|\\u002e)|weg|gasse|platz|allee|damm|ufer|ring|steig"
+_DASH = r"(?:[ \-+]|%2[0bBdD]|\\u002[0bBdD])?"
+_WORD = rf"(?:[{_L}a-zà-öø-ÿł'’‐-]++|%2[7dD]|\\u002[7dD]|&apos;)"
+
+
+def _anycase(words: str) -> str:
+    return re.sub(r"[^\x00-\x7f]", lambda m: f"[{m[0]}{m[0].upper()}]", _alt(words))
+
+
+_SEVEN_RAW = rf"\d(?:{_SEP}{{0,4}}\d){{6}}"
+_CALLE = rf"(?i:(?:{_anycase(CALLES)}){_BLANK})"
 CANDIDATE = "|".join((
-    r"@|%(?:25)?40|\\u0040|&#(?:64|x40);|(?:[\[({]|%(?:25)?(?:5[bB]|28|7[bB]))(?: |%(?:25)?20|\+)?(?:at|AT|At|aT)(?: |%(?:25)?20|\+)?(?:[\])}]|%(?:25)?(?:5[dD]|29|7[dD]))",
+    rf"@|(?:[\[({{]|(?:%|\\u00)(?:5[bB]|28|7[bB])){_SPACE}(?:at|AT|At|aT){_SPACE}(?:[\])}}]|(?:%|\\u00)(?:5[dD]|29|7[dD]))",
     r"(?=\d)(?:"
-    + rf"(?:(?<![A-Za-z0-9])|(?<=%[0-9A-Fa-f]{{2}})|(?<=%25[0-9A-Fa-f]{{2}})|(?<=\\u[0-9A-Fa-f]{{4}}))\d(?:{_SEP}{{0,3}}\d){{6}}"
-    + rf"|\d{{4}}{_SEP}?[A-Za-z](?![A-Za-z0-9])(?<=[A-Za-z]{{5}}(?:[ \-+]|%20)?\d{{4}}{_SEP}?[A-Za-z])"
-    + rf"|\d[A-Za-z]?{_BLANK}{{1,4}}(?:[A-Z]|(?i:(?:bis|ter)?{_BLANK}{{0,3}}(?:{_alt(ROADS)})))"
+    + rf"(?<![A-Za-z0-9]){_SEVEN_RAW}"
+    + rf"|\d{{4}}{_DASH}[A-Za-z](?![A-Za-z0-9])(?<=[A-Za-z]{{5}}{_DASH}\d{{4}}{_DASH}[A-Za-z])"
+    + rf"|\d(?:[A-Za-z]|{_BLANK}?(?i:bis|ter))?{_BLANK}{{1,4}}(?:[A-Z]|(?i:{_anycase(ROADS)}))"
     + ")",
     rf"(?i:(?=[adgprsuw])(?:{_STEM}){_BEHIND}\d)",
-    rf"(?=[{_L}])(?:[{_L}][\w'’-]*+\.?{_BLANK}{{1,3}}[{_L}]|(?<![\w])[{_L}]\.[{_L}])",
-    rf"(?i:(?<![a-z])(?=[caprtv])(?:{_alt(CALLES)}){_BLANK})",
+    rf"(?=[{_L}])(?:[{_L}]{_WORD}*+\.?{_BLANK}{{1,3}}[{_L}]|(?<![A-Za-z0-9_])[{_L}]\.[{_L}])",
+    rf"(?<![A-Za-z])(?=[caprtvCAPRTV]){_CALLE}",
+    # what begins behind an escape is reached from the escape
+    rf"(?=[%\\])(?:{_OPAQUE[0]}|{_BEFORE}(?:{_SEVEN_RAW}|[{_L}]\.[{_L}]|{_CALLE}))",
+    *_OPAQUE[1:],
 ))
 
 #: What any text that satisfies the pattern has: a first, cheap test. All branches need a capital, a sign of an address or an escape, seven digits, or digits as in a permanent account number.
-HINT = r"[A-Z@%&\\(\[{]|[^\x00-\x7f]|\d(?:[ +./\-]{0,3}\d){6}|\d{4}[ \-]?[a-z](?![a-z0-9])"
+HINT = r"[A-Z@%&\\(\[{]|[^\x00-\x7f]|\d(?:[ +./\-)]{0,4}\d){6}|\d{4}[ \-+]?[a-z](?![a-z0-9])"
 
 # ---------------------------------------------------------------- features
 
