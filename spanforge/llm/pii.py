@@ -94,7 +94,8 @@ def decode(text: str) -> tuple[str, list[int] | None]:
 _AT = r"(?:@|\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?)"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?)"
 EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+%-]{{0,63}}{_AT}[A-Za-z0-9](?:[A-Za-z0-9-]|{_DOT}(?=[A-Za-z0-9])){{1,80}}")
-GROUPS = re.compile(r"(?<![\w])(?:\+|\(\+?)?\d{1,14}\)?(?:(?:[ .\-/ ‐-―]|\) |\)-| \(|-\()?\(?\d{1,12}\)?){0,8}(?![\w])")
+#: A run of digit groups of any length; the bound of eight groups is on a candidate within it.
+GROUPS = re.compile(r"(?<![\w])(?:\+|\(\+?)?\d{1,14}\)?(?:(?:[ .\-/ ‐-―]|\) |\)-| \(|-\()?\(?\d{1,12}\)?)*(?![\w])")
 _GROUP = re.compile(r"[+(]{0,2}\d+\)?")
 PAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{5}[ -]?\d{4}[ -]?[A-Za-z](?![A-Za-z0-9])")
 _CAP = r"(?-i:[A-ZÀ-ÖØ-ÞŁŚŻ])[\w'’]*"

@@ -40,3 +40,13 @@ def test_spark_lets_every_candidate_through(spark):
     assert len(texts) > 4000 and set(NAMES) <= set(texts)
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [x.t for x in df.where(~F.coalesce(pii.hinted(F.col("t")), F.lit(False))).collect()] == []
+
+
+@pytest.mark.parametrize("text,want", [("10 20 30 40 50 60 70 078-05-1120", ("078-05-1120", "national_id")), ("12 34 56 78 90 11 22 33 415 555 0123", ("415 555 0123", "phone")), ("12-" * 30 + "078-05-1120/7", ("078-05-1120", "national_id"))])
+def test_numbers_behind_long_runs_are_candidates(text, want):
+    assert want in [(text[a:b], k) for a, b, k, _ in pii.candidates(text)]
+
+
+def test_long_runs_are_found_in_whole():
+    assert pii.redact("10 20 30 40 50 60 70 078-05-1120") == "10 20 30 40 50 60 70 [NATIONAL_ID]"
+    assert len(pii.candidates("12 " * 3000 + "x")) < 3000 * 8 * 2
