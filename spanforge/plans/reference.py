@@ -348,11 +348,21 @@ def body_base64(spark, d):
     return table(spark, d, "transactions").select("txn_id", "delivery_id", http.base64_text(F.col("req_body")).alias("body"), F.coalesce(F.octet_length("req_body"), F.lit(0)).alias("body_length"))
 
 
+def _previews(docs):
+    p = http.preview(F.col("text"))
+    return docs.select("doc_id", F.coalesce(F.length(p), F.lit(0)).alias("n"), p.alias("preview"))
+
+
 @query("body_preview", "SELECT doc_id, CAST(length(p) AS INT) AS n, CASE WHEN p <> '' THEN p END AS preview FROM (SELECT doc_id, CASE WHEN strlen(text) <= 8192 THEN text ELSE text[1:8192] END AS p FROM documents WHERE strlen(text) = length(text) AND text IS NOT NULL)")
 def body_preview(spark, d):
-    """The first 8,192 bytes of a text; compared on texts of single-byte characters, where engines cut alike."""
-    p = http.preview(F.col("text"))
-    return table(spark, d, "documents").where("octet_length(text) = length(text)").select("doc_id", F.coalesce(F.length(p), F.lit(0)).alias("n"), p.alias("preview"))
+    """The part of ``body_preview_all`` that SQL can repeat: texts of single-byte characters, where engines cut alike."""
+    return _previews(table(spark, d, "documents").where("octet_length(text) = length(text)"))
+
+
+@query("body_preview_all")
+def body_preview_all(spark, d):
+    """The first 8,192 bytes of every text, a character cut at the border replaced; without SQL, as DuckDB does not cut bytes of text."""
+    return _previews(table(spark, d, "documents"))
 
 
 HEAD_SQL = "req_method || ' ' || req_path || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || coalesce(req_host, 'none') || chr(13) || chr(10) || 'X-Tag: a' || chr(13) || chr(10) || 'x-tag:  b ' || chr(13) || chr(10) || 'Content-Length: ' || coalesce(strlen(req_body), 0) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(req_body, '')"
@@ -775,20 +785,41 @@ def websocket_frames(spark, d):
     return t.select("txn_id", "delivery_id", websocket("bytes").alias("f")).select("txn_id", "delivery_id", "f.fin", "f.opcode", "f.length", F.col("f.payload").cast("string").alias("text"))
 
 
+def _quic_varint(n):
+    return n.to_bytes(1, "big") if n < 1 << 6 else (n | 1 << 14).to_bytes(2, "big") if n < 1 << 14 else (n | 1 << 31).to_bytes(4, "big")
+
+
 def _h3_bytes(path):
-    raw = (path or "/").encode()[:60]
-    block = b"\0\0" + bytes([0xC0 | 20, 0xC0 | 23, 0x50 | 1]) + bytes([len(raw)]) + raw
-    return b"\x04\0" + b"\x01" + bytes([len(block)]) + block if len(block) < 64 else b"\x04\0\x01" + (0x4000 | len(block)).to_bytes(2, "big") + block
+    """Settings and one block of fields with the whole path, its length a prefix integer of seven bits (RFC 9204 section 4.1)."""
+    raw = (path or "/").encode()
+    size, rest = bytes([min(len(raw), 127)]), len(raw) - 127
+    if rest >= 0:
+        while rest > 127:
+            size, rest = size + bytes([rest & 127 | 128]), rest >> 7
+        size += bytes([rest])
+    block = b"\0\0" + bytes([0xC0 | 20, 0xC0 | 23, 0x50 | 1]) + size + raw
+    return b"\x04\0\x01" + _quic_varint(len(block)) + block
 
 
-@query("http3_headers", "SELECT txn_id, delivery_id, 'POST' AS method, 'https' AS scheme, substr(req_path, 1, 60) AS path FROM transactions WHERE strlen(req_path) = length(req_path)")
-def http3_headers(spark, d):
+@query("http3_headers_all")
+def http3_headers_all(spark, d):
+    """Fields of every row with the whole path; a row without path has ``/``."""
+    return _h3_fields(_bytes(spark, d, _h3_bytes, ["req_path"]))
+
+
+def _h3_fields(t):
     from spanforge.sources.chunks import http3
 
-    t = _bytes(spark, d, _h3_bytes, ["req_path"]).where("octet_length(req_path) = length(req_path)")
     return t.select("txn_id", "delivery_id", http3("bytes").alias("h")).select("txn_id", "delivery_id", F.col("h")[":method"].alias("method"), F.col("h")[":scheme"].alias("scheme"), F.col("h")[":path"].alias("path"))
 
 
+@query("http3_headers", "SELECT txn_id, delivery_id, 'POST' AS method, 'https' AS scheme, substr(req_path, 1, 60) AS path FROM transactions WHERE strlen(req_path) = length(req_path)")
+def http3_headers(spark, d):
+    """The part of ``http3_headers_all`` that its SQL states: the first 60 characters of single-byte paths."""
+    t = _bytes(spark, d, _h3_bytes, ["req_path"]).where("octet_length(req_path) = length(req_path)")
+    return _h3_fields(t).withColumn("path", F.substring("path", 1, 60))
+
+
 @query("stream_pairing")
 def stream_pairing(spark, d):
     """Views and clicks paired with purchases and errors per user, with time to live, as a stream; sign-ups close."""
