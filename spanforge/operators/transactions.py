@@ -13,16 +13,33 @@ NET = ("cgroup_id", "source_ip", "dest_ip", "source_port", "dest_port", "comm")
 
 
 def paired(messages: DataFrame) -> DataFrame:
-    """Requests with their responses: messages are (conn, ms, seq, method, target, status, headers, body, body_total) with the columns of NET.
+    """Requests with their responses: messages are (conn, ms, seq, method, target, status, headers, body, body_total, stream, event) with the columns of NET.
 
-    Requests that are not usable are left out before pairing and interim
-    responses before as well; a request without answer stays, with an outcome.
+    Messages with a stream are paired by (conn, stream), those without in order
+    of the connection. Requests that are not usable are left out before pairing
+    and interim responses before as well; a request without answer stays, with
+    an outcome, but for one whose stream is reset, or above a goaway's last one,
+    before its answer: it waits for none and is left out.
     """
     m = messages.where(http.usable_request(F.col("method"), F.col("target")) | (F.col("status").isNotNull() & ~http.interim(F.col("status"))))
-    ranked = pairing.fifo(m, ["conn"], ["ms", "seq"], F.col("method").isNotNull())
-    q = ranked.where("_s = 1").select("conn", "_rank", *(F.col(c).alias(f"q_{c}") for c in ("ms", "method", "target", "headers", "body")), *NET)
-    r = ranked.where("_s = -1 and not _unpaired").select("conn", "_rank", *(F.col(c).alias(f"r_{c}") for c in ("ms", "status", "headers", "body")))
-    return q.join(r, ["conn", "_rank"], "left").drop("_rank")
+    q_cols = [*(F.col(c).alias(f"q_{c}") for c in ("ms", "method", "target", "headers", "body")), *NET]
+    r_cols = [F.col(c).alias(f"r_{c}") for c in ("ms", "status", "headers", "body")]
+    ranked = pairing.fifo(m.where("stream is null"), ["conn"], ["ms", "seq"], F.col("method").isNotNull())
+    q = ranked.where("_s = 1").select("conn", "_rank", *q_cols)
+    r = ranked.where("_s = -1 and not _unpaired").select("conn", "_rank", *r_cols)
+    return q.join(r, ["conn", "_rank"], "left").drop("_rank").unionByName(_by_stream(m.where("stream is not null"), messages.where("event is not null"), q_cols, r_cols))
+
+
+def _by_stream(m: DataFrame, events: DataFrame, q_cols: list, r_cols: list) -> DataFrame:
+    at = F.struct("ms", "seq")
+    q = m.where("method is not null").select("conn", "stream", at.alias("_at"), at.alias("q_at"), *q_cols)
+    r = m.where("method is null").select("conn", "stream", at.alias("_at"), at.alias("r_at"), *r_cols)
+    p = pairing.keyed(q, r, ["conn", "stream"])
+    reset, goaway = (events.where(F.col("event") == e).select(F.col("conn").alias("_conn"), F.col("stream").alias("_stream"), at.alias("_when")) for e in ("reset", "goaway"))
+    unanswered = F.col("r_at").isNull() | (F.col("_when") < F.col("r_at"))
+    p = p.join(reset, (F.col("conn") == F.col("_conn")) & (F.col("stream") == F.col("_stream")) & unanswered, "left_anti")
+    p = p.join(goaway, (F.col("conn") == F.col("_conn")) & (F.col("stream") > F.col("_stream")) & (F.col("_when") >= F.col("q_at")) & unanswered, "left_anti")
+    return p.drop("stream", "q_at", "r_at")
 
 
 def transactions(pairs: DataFrame, key_hex: str, now_ms: int, closed: DataFrame | None = None, account_id: int = 0, source: str = "openssl") -> DataFrame:

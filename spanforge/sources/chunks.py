@@ -17,7 +17,7 @@ from spanforge.sources.decode import frames
 from spanforge.sources.decode.auto import AutoStream
 from spanforge.sources.decode.fields import Malformed
 
-MESSAGES = "conn string, direction byte, n int, method string, target string, status int, headers map<string,string>, body binary, body_total long, complete boolean, problem string"
+MESSAGES = "conn string, direction byte, n int, method string, target string, status int, headers map<string,string>, body binary, body_total long, complete boolean, stream int, event string, problem string"
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -26,11 +26,11 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def row(m, problem=None) -> dict:
         nonlocal n
         n += 1
-        return {"conn": key[0], "direction": key[1], "n": n - 1, "method": m.method if m else None, "target": m.target if m else None, "status": m.status if m else None, "headers": m.headers if m else None, "body": m.body if m else None, "body_total": m.body_total if m else None, "complete": bool(m and m.complete), "problem": problem}
+        return {"conn": key[0], "direction": key[1], "n": n - 1, "method": m.method if m else None, "target": m.target if m else None, "status": m.status if m else None, "headers": m.headers if m else None, "body": m.body if m else None, "body_total": m.body_total if m else None, "complete": bool(m and m.complete), "stream": m.stream if m else None, "event": m.event if m else None, "problem": problem}
 
     def frame(rows: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["conn", "direction", "n", "method", "target", "status", "headers", "body", "body_total", "complete", "problem"])
-        return out.astype({"status": "Int32", "body_total": "Int64"})
+        out = pd.DataFrame(rows, columns=["conn", "direction", "n", "method", "target", "status", "headers", "body", "body_total", "complete", "stream", "event", "problem"])
+        return out.astype({"status": "Int32", "body_total": "Int64", "stream": "Int32"})
 
     for b in batches:
         rows = []
@@ -52,7 +52,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def decode(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """HTTP/1 and HTTP/2 messages of (conn, direction, payload, cut) chunks in ``order``; a chunk that is ``cut`` ends what is being read."""
+    """HTTP/1 and HTTP/2 messages, resets and goaways of (conn, direction, payload, cut) chunks in ``order``; a chunk that is ``cut`` ends what is being read."""
     return chunks.repartition("conn", "direction").sortWithinPartitions("conn", "direction", *order).select("conn", "direction", "payload", "cut").mapInPandas(_decode, MESSAGES)
 
 

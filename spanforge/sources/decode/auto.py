@@ -13,7 +13,7 @@ def as_message(m: H2Message) -> Message:
     h.pop(":scheme", None)
     if authority is not None:
         h.setdefault("host", authority)
-    return Message(method, target, int(status) if status and status.isdigit() else None, h, m.body, m.body_total, True)
+    return Message(method, target, int(status) if status and status.isdigit() else None, h, m.body, m.body_total, True, m.stream)
 
 
 class AutoStream:
@@ -37,7 +37,7 @@ class AutoStream:
                 self.inner = H2Direction() if self.held.startswith(PREFACE) else H2Direction(preface=False) if self.held[:1] == b"\0" else Stream()
             data, self.held = self.held, b""
         if isinstance(self.inner, H2Direction):
-            return [as_message(m) for kind, m in self.inner.feed(data) if kind == "message"]
+            return [as_message(m) if kind == "message" else Message(stream=m, event=kind) for kind, m in self.inner.feed(data)]
         return self.inner.feed(data)
 
     def end(self) -> list[Message]:

@@ -21,6 +21,9 @@ class Message:
     body: bytes = b""
     body_total: int = 0
     complete: bool = False
+    #: HTTP/2: the stream, and 'reset' or 'goaway' for what is no message (of goaway, ``stream`` is the last one processed).
+    stream: int | None = None
+    event: str | None = None
 
     @property
     def truncated(self) -> bool:

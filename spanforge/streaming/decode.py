@@ -23,14 +23,14 @@ from spanforge.sources.decode.fields import Malformed
 from spanforge.sources.decode.http1 import METHODS
 
 TTL_MS = 300_000
-OUT = "conn string, direction byte, ms long, method string, target string, status int, headers map<string,string>, body binary, body_total long, complete boolean, problem string"
+OUT = "conn string, direction byte, ms long, method string, target string, status int, headers map<string,string>, body binary, body_total long, complete boolean, stream int, event string, problem string"
 STATE = "decoder binary, last long, seen long, skipping boolean"
 START = re.compile(rb"HTTP/1\.[01] |(?:" + b"|".join(sorted(METHODS)) + rb") ")
 COLUMNS = [c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", OUT).split(",")]
 
 
 def _row(key, ms, m, problem=None) -> tuple:
-    return (*key, ms, m.method, m.target, m.status, m.headers, m.body, m.body_total, m.complete, problem) if m else (*key, ms, None, None, None, None, None, None, False, problem)
+    return (*key, ms, m.method, m.target, m.status, m.headers, m.body, m.body_total, m.complete, m.stream, m.event, problem) if m else (*key, ms, None, None, None, None, None, None, False, None, None, problem)
 
 
 def walk(key: tuple, decoder: AutoStream, last: int | None, skipping: bool, chunks: Iterator[tuple[int, int, bytes, bool]]) -> tuple[int | None, bool, list[tuple]]:
@@ -76,7 +76,7 @@ def _step(ttl_ms: int):
             state.setTimeoutTimestamp(max(now + 1, seen + ttl_ms))
         if out:
             df = pd.DataFrame(out, columns=COLUMNS)
-            yield df.astype({"status": "Int32", "body_total": "Int64", "method": "string", "target": "string", "problem": "string"})
+            yield df.astype({"status": "Int32", "body_total": "Int64", "stream": "Int32", "method": "string", "target": "string", "event": "string", "problem": "string"})
 
     return step
 
