@@ -55,6 +55,21 @@ def test_new_messages_against_stored_ones(spark):
     assert sorted(r.delivery for r in R.admit(n, seen, ident(), C("at"), C("d")).collect()) == sorted(want)
 
 
+def test_both_ways_of_the_marks_and_no_rank_for_singletons(spark):
+    rows = make(5, 300)
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = brute(rows)
+    for most in (0, 10**6):
+        assert sorted(r.delivery for r in R.survivors(df, ident(), C("at"), C("d"), most).collect()) == sorted(kept)
+        assert sorted(r.delivery for r in R.superfluous(df, ident(), C("at"), C("d"), most).collect()) == sorted({x[0] for x in rows} - kept)
+    held, names = R._rows(df, ident(), C("at"), C("d"))
+    marked = held.join(R.marks(held), "h", "left_semi")
+    n = {}
+    for d, t, s, m, *_ in rows:
+        n[t, s, m] = n.get((t, s, m), 0) + 1
+    assert {(r.k0, r.k1, r.k2) for r in marked.collect()} == {k for k, c in n.items() if c > 1}
+
+
 def test_empty_and_missing_delivery(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert R.survivors(e, ident(), C("at"), C("d")).count() == 0 and R.superfluous(e, ident(), C("at"), C("d")).count() == 0
