@@ -2,20 +2,24 @@
 
 Records stream in order of arrival. Each belongs to the period of its event
 time; it counts if it arrives no later than ``lateness_ms`` after the period's
-end, else it is diverted to the side output with its id. The keyed state holds
-the counts of periods that may still change and emits, per micro-batch, the
-new value of every count it touched; a timer on the arrival watermark emits the
-final value when the cut-off has passed and removes the state. The emitted rows
-are upserts: of each (shard, key, period) the one with the highest revision
-holds.
-
-A record's shard is the hash of its id, so a hot key or period spreads evenly
-over all shards, and a result is the sum over shards.
+end, else it is diverted to the side output with its id. Each (key, period) has
+a state of its own with a timer of its own: the count so far and its revision.
+A micro-batch that adds to it emits the new value as an upsert of (key,
+period); when the watermark of arrivals passes the period's cut-off, the timer
+emits the final value and removes the state. Of the upserts of a (key, period)
+the one with the highest revision holds.
+
+Before the state the records of a micro-batch are combined where they are read,
+so a hot key sends a few partial counts, not its records. Late records travel
+as lists of ``BLOCK`` ids to a state of their own, which counts and diverts
+them; where a (key, period) has several blocks they spread over ``PARTS`` such
+states.
 
 Defined results: a record without event time or arrival can be neither placed
 nor judged and is diverted as ``unplaced``; a null key is a group of its own;
-of repeated rows of an id the earliest arrival counts; empty tables give empty
-results.
+of repeated rows of an id the earliest arrival counts; any key and id can
+occur, as the row that ends a replay is marked by a column of its own; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,17 +28,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanforge.streaming.replay import drain, replay
+from spanforge.streaming.replay import clock, clock_delay, replayed, tick
 
 HOUR_MS = 3_600_000
 LATENESS_MS = 1_200_000
-OUT = "kind string, shard int, key long, period_ms long, n long, revision long, id long"
-STATE = "key array<long>, period_ms array<long>, n array<long>, revision array<long>"
-NULL_KEY = -(2**63)
+#: Ids in a list of late records, and states over which the lists of a (key, period) are spread.
+BLOCK, PARTS = 1000, 16
+PARTIAL = "control boolean, no_key boolean, key long, period_ms long, part int, n long, ids array<long>, clock_ms long"
+ROWS = (("control", pa.bool_()), ("no_key", pa.bool_()), ("key", pa.int64()), ("period_ms", pa.int64()), ("part", pa.int32()), ("size", pa.int64()), ("ids", pa.list_(pa.int64())), ("max", pa.int64()))
+PARTIAL_NAMES = [c.strip().split()[0] for c in PARTIAL.split(",")]
+OUT = "kind string, no_key boolean, key long, period_ms long, n long, revision long, id long"
+STATE = "n long, revision long"
 
 
 def arrivals(records: DataFrame, key: Column, event_ms: Column, arrival_ms: Column, ident: Column) -> DataFrame:
@@ -44,75 +53,90 @@ def arrivals(records: DataFrame, key: Column, event_ms: Column, arrival_ms: Colu
     return r.where("id is not null").groupBy("id").agg(first).select("id", "f.key", "f.event_ms", "f.arrival_ms")
 
 
-def _count(period_ms: int, lateness_ms: int):
-    def rows(kind: str, shard: int, key, period, n, revision, ident=None) -> pd.DataFrame:
-        return pd.DataFrame({"kind": kind, "shard": np.int32(shard), "key": key, "period_ms": period, "n": n, "revision": revision, "id": np.int64(0) if ident is None else ident})
+def _combine(period_ms: int, lateness_ms: int):
+    """Arrow batches of (control, id, key, event_ms, arrival_ms) to partial counts and lists of late records."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            control = b.column(0).to_numpy(zero_copy_only=False)
+            key = b.column(2)
+            no_key = key.is_null().to_numpy(zero_copy_only=False)
+            ident, event, arrival = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 3, 4))
+            period = event - event % period_ms
+            late = ~control & (arrival > period + period_ms + lateness_ms)
+            r = pd.DataFrame({"control": control, "no_key": no_key, "key": key.fill_null(0).to_numpy(zero_copy_only=False), "period_ms": period, "clock_ms": arrival, "id": ident})
+            by = ["control", "no_key", "key", "period_ms"]
+            n = r[~late].groupby(by, sort=False)["clock_ms"].agg(["size", "max"]).reset_index()
+            n["part"], n["ids"] = 0, None
+            one = r[late].assign(block=r[late].groupby(by, sort=False).cumcount() // BLOCK)
+            lists = one.groupby([*by, "block"], sort=False).agg(size=("id", "size"), max=("clock_ms", "max"), ids=("id", list)).reset_index()
+            lists["part"] = 1 + lists.pop("block") % PARTS
+            both = [pa.concat_arrays([pa.array(x[c].to_list() if c == "ids" else x[c].to_numpy(), k) for x in (n, lists)]) for c, k in ROWS]
+            yield pa.RecordBatch.from_arrays(both, names=PARTIAL_NAMES)
+
+    return run
+
 
+def _count(period_ms: int, lateness_ms: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        shard = key[0]
-        k, p, n, rev = (np.asarray(x, dtype=np.int64) for x in (state.get if state.exists else ([], [], [], [])))
-        now = state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            for b in batches:
-                b = b[b["id"] >= 0]
-                if not len(b):
-                    continue
-                bk, ev, arr = (b[c].to_numpy(np.int64) for c in ("key", "event_ms", "arrival_ms"))
-                period = ev - ev % period_ms
-                late = arr > period + period_ms + lateness_ms
-                if late.any():
-                    yield rows("late", shard, bk[late], period[late], np.int64(1), np.int64(0), b["id"].to_numpy(np.int64)[late])
-                if late.all():
-                    continue
-                new = pd.DataFrame({"k": bk[~late], "p": period[~late]}).groupby(["k", "p"], sort=False).size().reset_index()
-                old = pd.DataFrame({"k": k, "p": p, "n": n, "r": rev})
-                both = old.merge(new.rename(columns={0: "add"}), on=["k", "p"], how="outer").fillna(0).astype(np.int64)
-                hit = both["add"].to_numpy() > 0
-                k, p = both["k"].to_numpy(), both["p"].to_numpy()
-                n, rev = (both["n"] + both["add"]).to_numpy(), both["r"].to_numpy() + hit
-                yield rows("update", shard, k[hit], p[hit], n[hit], rev[hit])
-        over = p + period_ms + lateness_ms < now
-        if over.any():
-            yield rows("final", shard, k[over], p[over], n[over], rev[over] + 1)
-        keep = ~over
-        if keep.any():
-            state.update(tuple(x[keep].tolist() for x in (k, p, n, rev)))
-            state.setTimeoutTimestamp(max(now + 1, int(p[keep].min()) + period_ms + lateness_ms + 1))
-        elif state.exists:
+        (control, no_key), (value, period, part) = key[:2], map(int, key[2:])
+        n, revision = state.get if state.exists else (0, 0)
+
+        def rows(kind: str, n, revision: int, ident=0) -> pd.DataFrame:
+            return pd.DataFrame({"kind": kind, "no_key": no_key, "key": value, "period_ms": period, "n": n, "revision": revision, "id": np.atleast_1d(ident)})
+
+        if state.hasTimedOut:
             state.remove()
+            if part == 0:
+                yield rows("final", int(n), int(revision) + 1)
+            return
+        added = 0
+        for b in batches:
+            added += int(b["n"].sum())
+            if part:
+                yield rows("late", 1, 0, np.concatenate(b["ids"].to_list()).astype(np.int64))
+        if control:
+            return
+        state.update((int(n) + added, int(revision) + 1))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, tick(period + period_ms + lateness_ms) + 1))
+        if part == 0:
+            yield rows("update", int(n) + added, int(revision) + 1)
 
     return step
 
 
-def late_stream(records: DataFrame, period_ms: int = HOUR_MS, lateness_ms: int = LATENESS_MS, delay_ms: int = 60_000, shards: int = 48) -> DataFrame:
-    """Updates, finals and late records of a streaming (id, key, event_ms, arrival_ms) without nulls."""
+def late_stream(records: DataFrame, period_ms: int = HOUR_MS, lateness_ms: int = LATENESS_MS, delay_ms: int = 60_000) -> DataFrame:
+    """Upserts, finals and late records of a streaming (control, id, key, event_ms, arrival_ms), of which the key alone may be null.
+
+    ``delay_ms`` is how far out of order arrivals may come.
+    """
+    partial = records.select("control", "id", "key", "event_ms", "arrival_ms").mapInArrow(_combine(period_ms, lateness_ms), PARTIAL)
     return (
-        records.withColumn("at", F.timestamp_millis("arrival_ms"))
-        .withWatermark("at", f"{delay_ms} milliseconds")
-        .withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-        .groupBy("shard")
+        partial.withColumn("at", clock(F.col("clock_ms")))
+        .withWatermark("at", clock_delay(delay_ms))
+        .groupBy("control", "no_key", "key", "period_ms", "part")
         .applyInPandasWithState(_count(period_ms, lateness_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def corrected_counts(records: DataFrame, key: Column, event_ms: Column, arrival_ms: Column, ident: Column, period_ms: int = HOUR_MS, lateness_ms: int = LATENESS_MS, slices: int = 6) -> tuple[DataFrame, DataFrame]:
+def corrected_counts(records: DataFrame, key: Column, event_ms: Column, arrival_ms: Column, ident: Column, period_ms: int = HOUR_MS, lateness_ms: int = LATENESS_MS, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(counts: key, period_ms, n, revisions) and (diverted: id, key, period_ms, reason) of stored records, replayed in order of arrival."""
-    spark = records.sparkSession
-    rows = arrivals(records, key, event_ms, arrival_ms, ident).withColumn("key", F.coalesce("key", F.lit(NULL_KEY)))
-    marker = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(NULL_KEY).alias("key"), F.lit(0).cast("long").alias("event_ms"), F.lit(4_102_444_800_000).alias("arrival_ms"))
-    placed = rows.where("event_ms is not null and arrival_ms is not null and id >= 0")
-    stream, base = replay(placed, "arrival_ms", slices, marker)
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = drain(late_stream(stream, period_ms, lateness_ms, shards=shards), base, ["kind"])
-    real = F.when(F.col("key") != NULL_KEY, F.col("key")).alias("key")
-    counts = (
-        out.where("kind <> 'late'")
-        .groupBy("shard", "key", "period_ms")
-        .agg(F.max_by("n", "revision").alias("n"), F.max("revision").alias("revisions"))
-        .groupBy("key", "period_ms")
-        .agg(F.sum("n").alias("n"), F.max("revisions").alias("revisions"))
-        .select(real, "period_ms", "n", "revisions")
-    )
+    rows = arrivals(records, key, event_ms, arrival_ms, ident)
+    placed = rows.where("event_ms is not null and arrival_ms is not null").select(F.lit(False).alias("control"), "id", "key", "event_ms", "arrival_ms")
+
+    def build(stream: DataFrame) -> DataFrame:
+        return late_stream(stream, period_ms, lateness_ms)
+
+    def marker(kept: DataFrame) -> DataFrame:
+        """A control row behind the last arrival and the last cut-off."""
+        end = F.coalesce(F.max(F.greatest("arrival_ms", F.col("event_ms") + period_ms + lateness_ms)), F.lit(0).cast("long")) + period_ms + 120_000
+        zero = F.lit(0).cast("long")
+        return kept.agg(end.alias("arrival_ms")).select(F.lit(True).alias("control"), zero.alias("id"), zero.alias("key"), zero.alias("event_ms"), "arrival_ms")
+
+    out = replayed(placed, "arrival_ms", build, marker, slices, ["kind"])
+    real = F.when(~F.col("no_key"), F.col("key")).alias("key")
+    counts = out.where("kind <> 'late'").groupBy("no_key", "key", "period_ms").agg(F.max_by("n", "revision").alias("n"), F.max("revision").alias("revisions")).select(real, "period_ms", "n", "revisions")
     diverted = out.where("kind = 'late'").select("id", real, "period_ms", F.lit("late").alias("reason"))
-    unplaced = rows.where("event_ms is null or arrival_ms is null").select("id", real, F.lit(None).cast("long").alias("period_ms"), F.lit("unplaced").alias("reason"))
+    unplaced = rows.where("event_ms is null or arrival_ms is null").select("id", "key", F.lit(None).cast("long").alias("period_ms"), F.lit("unplaced").alias("reason"))
     return counts, diverted.unionByName(unplaced)

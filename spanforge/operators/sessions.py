@@ -5,33 +5,28 @@ grid as wide as the gap belong together whatever else happens, so minimum,
 maximum and count per (actor, cell) are enough. They are combined before and
 after the shuffle, so an actor with a third of all rows is a few rows a cell.
 
-The fragments stream in order through keyed state. Each shard of actors holds
-the open sessions; a fragment within the gap extends its actor's session and
-resets its timeout, and when the watermark passes a timeout the session is
-emitted with its final start, end and count.
+The fragments stream in order through the state of their actor, one row of the
+state store for each open session: a fragment that begins before the session's
+timeout extends it and moves the timeout to the fragment's end plus the gap;
+when the watermark passes a timeout, that session leaves the state with its
+final start, end and count. State and timers are those of the streaming session
+window, whose width is given row by row, so all of it runs in the JVM and a key
+holds its own open session only.
 
 Defined results: events without an actor or an instant are in no session;
 events without an id extend a session but are not counted; repeated rows of
-one id count once; an empty table gives no session.
+one id count once; any actor and any instant can occur, as the row that ends a
+replay is marked by a column of its own; an empty table gives no session.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanforge.streaming.replay import drain, replay
+from spanforge.streaming.replay import SHIFT_MS, replayed
 
 GAP_MS = 1_800_000
-OUT = "actor string, start_ms long, end_ms long, n_events long"
-STATE = "actor array<string>, start_ms array<long>, end_ms array<long>, n_events array<long>"
-#: An actor no event can have: the marker that moves the watermark on.
-END = "\x00end"
 
 
 def fragments(df: DataFrame, actor: Column, ms: Column, event: Column, gap_ms: int = GAP_MS) -> DataFrame:
@@ -46,67 +41,35 @@ def fragments(df: DataFrame, actor: Column, ms: Column, event: Column, gap_ms: i
     )
 
 
-def joined(actor: np.ndarray, start: np.ndarray, end: np.ndarray, n: np.ndarray, gap_ms: int) -> tuple[np.ndarray, ...]:
-    """Merge intervals of one actor that are at most the gap apart."""
-    codes, names = pd.factorize(actor)
-    order = np.lexsort((start, codes))
-    codes, start, end, n = codes[order], start[order], end[order], n[order]
-    # the running maximum of ends restarts with each actor: offset every actor by more than the whole span
-    base = start.min()
-    span = int(end.max()) - int(base) + gap_ms + 1
-    reach = np.maximum.accumulate(end - base + codes * span)
-    first = np.r_[True, (start[1:] - base + codes[1:] * span) - reach[:-1] > gap_ms]
-    at = np.flatnonzero(first)
-    return names[codes[at]], start[at], np.maximum.reduceat(end, at), np.add.reduceat(n, at)
-
-
-def _advance(gap_ms: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [np.asarray(x, dtype=object if k == 0 else np.int64) for k, x in enumerate(state.get)] if state.exists else None
-        parts = [held] if held is not None else []
-        if not state.hasTimedOut:
-            parts += [[b["actor"].to_numpy(object), *(b[c].to_numpy(np.int64) for c in ("start_ms", "end_ms", "n_events"))] for b in batches]
-        parts = [p if (real := p[0] != END).all() else [x[real] for x in p] for p in parts]
-        parts = [p for p in parts if len(p[0])]
-        now = state.getCurrentWatermarkMs()
-        if not parts:
-            return
-        who, start, end, n = joined(*(np.concatenate(x) for x in zip(*parts)), gap_ms)
-        over = end + gap_ms <= now
-        keep = ~over
-        if keep.any():
-            state.update(tuple(x[keep].tolist() for x in (who, start, end, n)))
-            state.setTimeoutTimestamp(max(now + 1, int(end[keep].min()) + gap_ms))
-        else:
-            state.remove()
-        if over.any():
-            yield pd.DataFrame({"actor": who[over], "start_ms": start[over], "end_ms": end[over], "n_events": n[over]})
-
-    return step
-
-
-def session_stream(frags: DataFrame, gap_ms: int = GAP_MS, delay_ms: int = GAP_MS, shards: int = 48) -> DataFrame:
-    """Final sessions of a streaming DataFrame of fragments (or of single events as fragments of length 0).
-
-    ``delay_ms`` is how far out of order fragments may come; ``shards`` is the
-    number of keyed states over which actors are spread.
+def session_stream(frags: DataFrame, gap_ms: int = GAP_MS, delay_ms: int = GAP_MS) -> DataFrame:
+    """Final sessions of a streaming (control, actor, start_ms, end_ms, n_events); a single event is a fragment of length 0.
+
+    ``delay_ms`` is how far out of order fragments may come. A fragment that
+    begins exactly at the timeout still extends the session.
+    Control rows only move the watermark on; their own timeout is never passed.
+    (A filter on them here would be pushed below the watermark.)
     """
+    held = F.concat((F.col("end_ms") - F.col("start_ms") + gap_ms).cast("string"), F.lit(" milliseconds"))
     return (
-        frags.withColumn("at", F.timestamp_millis("start_ms"))
+        frags.withColumn("at", F.timestamp_millis(F.col("start_ms") + SHIFT_MS))
         .withWatermark("at", f"{delay_ms} milliseconds")
-        .withColumn("shard", F.pmod(F.xxhash64("actor"), F.lit(shards)).cast("int"))
-        .groupBy("shard")
-        .applyInPandasWithState(_advance(gap_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-        .where(F.col("actor") != END)
+        .groupBy("control", "actor", F.session_window("at", held))
+        .agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n_events").alias("n_events"))
+        .select("actor", "start_ms", "end_ms", "n_events")
     )
 
 
-def sessionize(df: DataFrame, actor: Column, ms: Column, event: Column, gap_ms: int = GAP_MS, slices: int = 4) -> DataFrame:
-    """Sessions of a stored table: its fragments replayed in order of time, then a marker that ends all sessions."""
-    spark = df.sparkSession
-    frags = fragments(df, actor, ms, event, gap_ms)
-    far = 4_102_444_800_000  # a day after any instant that is data
-    last = spark.range(1).select(F.lit(END).alias("actor"), *(F.lit(far).alias(c) for c in ("start_ms", "end_ms")), F.lit(0).cast("long").alias("n_events"))
-    stream, base = replay(frags, "start_ms", slices, last)
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return drain(session_stream(stream, gap_ms, shards=shards), base).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+def sessionize(df: DataFrame, actor: Column, ms: Column, event: Column, gap_ms: int = GAP_MS, slices: int | None = None) -> DataFrame:
+    """Sessions of a stored table: its fragments replayed in order of time, then a marker behind the last timeout."""
+    frags = fragments(df, actor, ms, event, gap_ms).select(F.lit(False).alias("control"), "*")
+
+    def build(stream: DataFrame) -> DataFrame:
+        return session_stream(stream, gap_ms)
+
+    return replayed(frags, "start_ms", build, lambda rows: _marker(rows, gap_ms), slices).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+
+
+def _marker(rows: DataFrame, gap_ms: int) -> DataFrame:
+    """A control row later than every timeout."""
+    end = (F.coalesce(F.max("end_ms"), F.lit(0).cast("long")) + 4 * gap_ms + 60_000).alias("start_ms")
+    return rows.agg(end).select(F.lit(True).alias("control"), F.lit("").alias("actor"), "start_ms", F.col("start_ms").alias("end_ms"), F.lit(0).cast("long").alias("n_events"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings of sessions made here; a session made elsewhere keeps its own.
@@ -63,9 +65,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths made by this process and not yet removed.
+_made: set[str] = set()
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``discard`` removes it, at the latest when the process ends."""
+    if not _made:
+        atexit.register(discard)
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def discard(*paths: str) -> None:
+    """Remove the given paths, or all that this process made. Tables read from them are gone: call it when their results are written."""
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return
+    for path in paths or tuple(_made):
+        try:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - a session that is going away
+            return
+        _made.discard(path)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from spanforge.sources.decode.auto import AutoStream
 from spanforge.sources.decode.fields import Malformed
 from spanforge.sources.decode.http1 import METHODS
+from spanforge.streaming.replay import clock, clock_delay, tick
 
 TTL_MS = 300_000
 OUT = "conn string, direction byte, ms long, method string, target string, status int, headers map<string,string>, body binary, body_total long, complete boolean, stream int, event string, problem string"
@@ -73,7 +74,7 @@ def _step(ttl_ms: int):
             seen = max(int(seen), int(rows["ms"].max()))
             last, skipping, out = walk(key, decoder, last, bool(skipping), zip(rows["seq"], rows["ms"], rows["payload"], rows["cut"]))
             state.update((pickle.dumps(decoder), -1 if last is None else int(last), seen, bool(skipping)))
-            state.setTimeoutTimestamp(max(now + 1, seen + ttl_ms))
+            state.setTimeoutTimestamp(max(now + 1, tick(seen + ttl_ms)))
         if out:
             df = pd.DataFrame(out, columns=COLUMNS)
             yield df.astype({"status": "Int32", "body_total": "Int64", "stream": "Int32", "method": "string", "target": "string", "event": "string", "problem": "string"})
@@ -84,7 +85,7 @@ def _step(ttl_ms: int):
 def messages_stream(chunks: DataFrame, ttl_ms: int = TTL_MS, delay_ms: int = 60_000) -> DataFrame:
     """Messages of a streaming (conn, direction, seq, ms, payload, cut)."""
     return (
-        chunks.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", f"{delay_ms} milliseconds")
+        chunks.withColumn("at", clock(F.col("ms"))).withWatermark("at", clock_delay(delay_ms))
         .groupBy("conn", "direction").applyInPandasWithState(_step(ttl_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 

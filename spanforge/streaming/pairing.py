@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanforge.streaming.replay import drain, replay
+from spanforge.streaming.replay import clock, clock_delay, instant, replayed, tick
 
 TTL_MS, MOST = 300_000, 100
 OUT = "conn string, request_id long, response_id long, latency_ms long, outcome string"
 STATE = "ids array<long>, times array<long>"
-END = "\x00end"
 
 
 def pair_queue(waiting: list[tuple[int, int]], messages: Iterator[tuple[int, str, int]], ttl_ms: int = TTL_MS, most: int = MOST) -> tuple[list[tuple[int, int]], list[tuple]]:
@@ -55,7 +54,8 @@ def _step(ttl_ms: int, most: int, end_ms: int | None):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting = list(zip(*state.get)) if state.exists else []
         out: list[tuple] = []
-        now = state.getCurrentWatermarkMs()
+        ticks = state.getCurrentWatermarkMs()
+        now = instant(ticks)
         if not state.hasTimedOut:
             rows = pd.concat([b[["ms", "seq", "kind", "id"]] for b in batches]).sort_values(["ms", "seq"], kind="stable")
             rows = rows[rows["kind"] != "end"]
@@ -65,7 +65,7 @@ def _step(ttl_ms: int, most: int, end_ms: int | None):
         out += [(q, None, None, "no_response_observed" if end_ms is None or t + ttl_ms <= end_ms else "sensor_shutdown") for q, t in over]
         if waiting:
             state.update(([int(q) for q, _ in waiting], [int(t) for _, t in waiting]))
-            state.setTimeoutTimestamp(max(now + 1, int(waiting[0][1]) + ttl_ms))
+            state.setTimeoutTimestamp(max(ticks + 1, tick(waiting[0][1] + ttl_ms)))
         elif state.exists:
             state.remove()
         if out:
@@ -76,19 +76,22 @@ def _step(ttl_ms: int, most: int, end_ms: int | None):
 
 
 def pairs_stream(messages: DataFrame, ttl_ms: int = TTL_MS, most: int = MOST, delay_ms: int = 60_000, end_ms: int | None = None) -> DataFrame:
-    """Pairs and incomplete requests of a streaming (conn, ms, seq, kind, id)."""
+    """Pairs and incomplete requests of a streaming (conn, ms, seq, kind, id); ``end`` rows only move the watermark on."""
     return (
-        messages.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", f"{delay_ms} milliseconds")
+        messages.withColumn("at", clock(F.col("ms"))).withWatermark("at", clock_delay(delay_ms))
         .groupBy("conn").applyInPandasWithState(_step(ttl_ms, most, end_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def pair_stored(messages: DataFrame, ttl_ms: int = TTL_MS, most: int = MOST, slices: int = 4) -> DataFrame:
+def pair_stored(messages: DataFrame, ttl_ms: int = TTL_MS, most: int = MOST, slices: int | None = None) -> DataFrame:
     """The same over a stored table, replayed in order of time to its end."""
-    m = messages.where(F.col("conn").isNotNull() & F.col("kind").isin("request", "response", "close"))
+    m = messages.where(F.col("conn").isNotNull() & F.col("ms").isNotNull() & F.col("kind").isin("request", "response", "close"))
     end = m.agg(F.max("ms")).first()[0]
     if end is None:
         return messages.sparkSession.createDataFrame([], OUT)
-    last = messages.sparkSession.range(1).select(F.lit(END).alias("conn"), F.lit(4_102_444_800_000).alias("ms"), F.lit(0).cast("long").alias("seq"), F.lit("end").alias("kind"), F.lit(0).cast("long").alias("id"))
-    stream, base = replay(m.select("conn", F.col("ms").cast("long").alias("ms"), F.col("seq").cast("long").alias("seq"), "kind", F.col("id").cast("long").alias("id")), "ms", slices, last)
-    return drain(pairs_stream(stream, ttl_ms, most, end_ms=end), base)
+
+    def marker(rows: DataFrame) -> DataFrame:
+        return rows.agg((F.max("ms") + 2 * ttl_ms + 120_000).alias("ms")).select(F.lit("").alias("conn"), "ms", F.lit(0).cast("long").alias("seq"), F.lit("end").alias("kind"), F.lit(0).cast("long").alias("id"))
+
+    rows = m.select("conn", F.col("ms").cast("long").alias("ms"), F.col("seq").cast("long").alias("seq"), "kind", F.col("id").cast("long").alias("id"))
+    return replayed(rows, "ms", lambda s: pairs_stream(s, ttl_ms, most, end_ms=end), marker, slices)

@@ -8,7 +8,7 @@ from spanforge.operators import transactions as T
 from spanforge.sources import chunks as C
 from spanforge.sources.decode import fields, frames
 from spanforge.streaming.decode import messages_stream
-from spanforge.streaming.replay import drain, replay
+from spanforge.streaming.replay import replayed
 
 
 def _request(stream, path):
@@ -47,8 +47,7 @@ def _batch(df):
 
 
 def _streamed(df):
-    stream, base = replay(df, "ms", 3)
-    return drain(messages_stream(stream), base).withColumn("seq", F.monotonically_increasing_id())
+    return replayed(df, "ms", messages_stream, slices=3).withColumn("seq", F.monotonically_increasing_id())
 
 
 @pytest.mark.parametrize("decode", (_batch, _streamed))

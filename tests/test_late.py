@@ -45,5 +45,26 @@ def test_the_earliest_arrival_of_an_id_counts(spark):
     assert run(df) == ({(7, base): 1}, set())
 
 
+def test_any_key_id_and_instant_counts(spark):
+    """Negative ids, the least key, arrivals beyond the year 2100."""
+    base = 4_200_000_000_000 - 4_200_000_000_000 % late.HOUR_MS
+    least = -(2**63)
+    df = spark.createDataFrame([(-5, least, base, base + 1, ""), (-6, None, base, base + 1, ""), (-1, 0, 20 * base, 20 * base + 1, ""), (-7, 3, base, base + 9 * late.HOUR_MS, "")], SCHEMA)
+    assert run(df) == ({(least, base): 1, (None, base): 1, (0, 20 * base - 20 * base % late.HOUR_MS): 1}, {(-7, "late")})
+
+
+def test_a_late_record_corrects_its_count_and_each_revision_is_an_upsert(spark):
+    base = 1_740_960_000_000 - 1_740_960_000_000 % late.HOUR_MS
+    rows = [(k, 7, base, base + k * 600_000, "") for k in range(8)]
+    counts, _ = late.corrected_counts(spark.createDataFrame(rows, SCHEMA), C("key"), C("ev"), C("arr"), C("id"), slices=8)
+    got = counts.collect()
+    assert [(r.key, r.n) for r in got] == [(7, 8)] and 3 <= got[0].revisions <= 9
+
+
+def test_a_hot_key_is_a_few_rows_before_the_state(spark):
+    rows = spark.range(0, 100_000, 1, 4).select(F.lit(False).alias("control"), "id", F.lit(1).cast("long").alias("key"), (F.lit(1_740_960_000_000) + F.col("id") % 3_600_000).alias("event_ms"), (F.lit(1_740_960_000_000) + F.col("id") % 3_600_000).alias("arrival_ms"))
+    assert rows.mapInArrow(late._combine(late.HOUR_MS, late.LATENESS_MS), late.PARTIAL).count() <= 4 * 4
+
+
 def test_empty(spark):
     assert run(spark.createDataFrame([], SCHEMA)) == ({}, set())

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import pairing
 from spanforge.streaming import pairing as S
-from spanforge.streaming.replay import replay
+from spanforge.streaming.replay import replayed
 
 
 def messages(seed, n=300, conns=4):
@@ -70,10 +70,13 @@ def test_keyed_pairing_replaces_repeats(spark):
 
 def test_replay_keeps_the_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("t"))
-    stream, base = replay(df, "t", 3)
-    seen = []
-    q = stream.writeStream.foreachBatch(lambda b, k: seen.append((k, [r.t for r in b.collect()]))).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert len(seen) >= 3 and sum(len(x) for _, x in seen) == 1000
-    for (_, a), (_, b) in zip(seen, seen[1:]):
-        assert max(a) < min(b)
+    out = replayed(df, "t", lambda s: s.select("t", F.current_timestamp().alias("at")), slices=3)
+    seen = sorted((r.at, r.t) for r in out.collect())
+    assert len(seen) == 1000 and len({at for at, _ in seen}) == 3
+    assert [t for _, t in seen] == list(range(1000))
+
+
+def test_replay_of_equal_and_of_no_rows(spark):
+    df = spark.createDataFrame([(5,)] * 9, "t long")
+    assert replayed(df, "t", lambda s: s, slices=3).count() == 9
+    assert replayed(df.limit(0), "t", lambda s: s, slices=3).count() == 0

@@ -14,7 +14,7 @@ from spanforge.sources import ingest
 from spanforge.sources.decode import fields, frames
 from spanforge.sources.decode.auto import AutoStream
 from spanforge.streaming.decode import messages_stream, walk
-from spanforge.streaming.replay import drain, replay
+from spanforge.streaming.replay import replayed
 
 KEY = tokens.TEST_KEY
 
@@ -59,8 +59,7 @@ def test_streamed_decoding(spark):
         at = sorted(r.sample(range(1, len(data)), 7))
         rows += [(f"c{c}", 0, k, 1_740_960_000_000 + k * 1000, data[a:b], False) for k, (a, b) in enumerate(zip([0, *at], [*at, len(data)]))]
     df = spark.createDataFrame(rows, "conn string, direction byte, seq long, ms long, payload binary, cut boolean")
-    stream, base = replay(df, "ms", 3)
-    got = drain(messages_stream(stream), base).collect()
+    got = replayed(df, "ms", messages_stream, slices=3).collect()
     assert {x.target for x in got} == want and len(got) == len(want) and all(x.body == b"abc" for x in got)
 
 

@@ -56,6 +56,22 @@ def test_gap_exactly_at_the_limit(spark):
     assert got == [(t, t + GAP, 2, GAP), (t + 2 * GAP + 1, t + 2 * GAP + 1, 1, 0)]
 
 
+def test_any_instant_and_actor_has_its_session(spark):
+    """Instants far behind today, before 1970 and beyond the year 3000, and actors that look like a marker."""
+    far = [4_200_000_000_000, 32_600_000_000_000, -5_000, 0]
+    rows = [(a, None, t + d, k * 100 + j, "", "") for k, t in enumerate(far) for a in ("\x00end", "end") for j, d in enumerate((0, GAP))]
+    got = {(x.actor, x.start_ms, x.end_ms, x.n_events) for x in run(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(a, t, t + GAP, 2) for t in far[:3] for a in ("\x00end", "end")} - {(a, -5000, -5000 + GAP, 2) for a in ("\x00end", "end")} | {(a, -5000, GAP, 4) for a in ("\x00end", "end")}
+
+
+def test_an_event_inside_a_longer_fragment(spark):
+    """A session grows by its last end, not by its last begun fragment."""
+    t = 1_740_960_000_000 - 1_740_960_000_000 % GAP
+    rows = [("a", None, t + d, k, "", "") for k, d in enumerate((0, GAP - 1, GAP, 2 * GAP - 1, 3 * GAP - 1, 4 * GAP))]
+    got = sorted((x.start_ms - t, x.end_ms - t, x.n_events) for x in run(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, 3 * GAP - 1, 5), (4 * GAP, 4 * GAP, 1)]
+
+
 def test_empty(spark):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
 
