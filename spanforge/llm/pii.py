@@ -1,16 +1,19 @@
 """Personal information in free text, by a semi-Markov conditional random field.
 
 A text is segmented into stretches of ordinary text and whole entity spans of
-bounded length, and a log-linear model scores complete segmentations. Features
-look at a whole candidate span: its grouping of digits, check digits, shapes of
-its words, the words and keys around it. Candidates come from broad patterns
-that overlap and compete; the dynamic programme over their boundaries chooses
-boundaries and types together (Viterbi), and the same lattice gives the
-forward-backward sums the weights are trained with (``pii_train``).
+a bounded number of tokens, and a log-linear model scores complete
+segmentations. Features look at a whole candidate span: its grouping of digits,
+check digits, the classes and endings of its words (``lexicon``), the words and
+keys around it; entities close to each other add a score for their pair of
+types. Candidates come from broad patterns that overlap and compete; the
+dynamic programme over their boundaries chooses boundaries and types together
+(Viterbi), and the same lattice gives the forward-backward sums the weights are
+trained with (``pii_train``). The bounds are those of the method: eight groups
+of digits and fifteen digits a number, five words a name, four words a street.
 
 Texts are read through their encodings (percent, form, JSON and XML escapes,
-also twice over) with the place of each character remembered, so redaction
-replaces the raw characters of a span and leaves all else as it is.
+however often applied) with the place of each character remembered, so
+redaction replaces the raw characters of a span and leaves all else as it is.
 
 A JVM pattern that every candidate satisfies keeps texts without any candidate
 out of Python.
@@ -22,6 +25,7 @@ have no findings.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -33,15 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.tokens import verhoeff_valid
+from spanforge.llm.lexicon import classify
 from spanforge.llm.pii_weights import WEIGHTS
 
 TYPES = ("email", "phone", "national_id", "street_address", "person_name")
-#: No span is longer than this many characters.
-LONGEST = 120
 
 # ---------------------------------------------------------------- encodings
 
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\[nrt\"/\\]|&(?:#\d{1,6}|#x[0-9A-Fa-f]{1,5}|amp|lt|gt|quot|apos|nbsp|[A-Za-z]{4,6});|(?<=[\w.,!?;)\]'-])\+(?=[\w(%&+'\"\[])(?![\w.+-]*@)")
+#: Signs that were escaped again and again: read as escaped once.
+_NESTED = ((re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})"), "%"), (re.compile(r"&(?:amp;)+(?=#?\w{1,7};)"), "&"))
 _SIMPLE = {"\\n": "\n", "\\r": "\r", "\\t": "\t", '\\"': '"', "\\/": "/", "\\\\": "\\"}
 
 
@@ -76,16 +81,33 @@ def _pass(text: str, at: list[int] | None) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
+def _unnest(text: str, at: list[int] | None) -> tuple[str, list[int] | None]:
+    for nested, sign in _NESTED:
+        if not nested.search(text):
+            continue
+        out, places, last = [], [], 0
+        here = at if at is not None else range(len(text) + 1)
+        for m in nested.finditer(text):
+            out += [text[last : m.start()], sign]
+            places += [*here[last : m.start()], here[m.start()]]
+            last = m.end()
+        text, at = "".join(out) + text[last:], [*places, *here[last:]]
+    return text, at
+
+
 def decode(text: str) -> tuple[str, list[int] | None]:
-    """The text as it reads and, if anything was escaped, the raw place of each character and of the end."""
+    """The text as it reads and, if anything was escaped, the raw place of each character and of the end.
+
+    A pass undoes one encoding and a chain of escaped escape signs at once, so
+    the passes are as many as the encodings, each shorter than the one before.
+    """
     at: list[int] | None = None
-    for k in range(3):
-        if not ("%" in text or "\\" in text or "&" in text or (k == 0 and "+" in text)) or not _ESCAPE.search(text):
-            break
-        new, places = _pass(text, at)
+    first = True
+    while ("%" in text or "\\" in text or "&" in text or (first and "+" in text)) and _ESCAPE.search(text):
+        new, places = _pass(*_unnest(text, at))
         if new == text:
             break
-        text, at = new, places
+        text, at, first = new, places, False
     return text, at
 
 
@@ -98,40 +120,53 @@ EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+%-]{{0,63}}{_AT}[A-Za-z0-9](?:
 GROUPS = re.compile(r"(?<![\w])(?:\+|\(\+?)?\d{1,14}\)?(?:(?:[ .\-/ ‐-―]|\) |\)-| \(|-\()?\(?\d{1,12}\)?)*(?![\w])")
 _GROUP = re.compile(r"[+(]{0,2}\d+\)?")
 PAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{5}[ -]?\d{4}[ -]?[A-Za-z](?![A-Za-z0-9])")
-_CAP = r"(?-i:[A-ZÀ-ÖØ-ÞŁŚŻ])[\w'’]*"
+#: Capitals of the scripts that have them (Latin, Greek, Cyrillic, Armenian), and letters of those that have none.
+_U = "".join(chr(c) for c in range(0x590) if chr(c).isupper())
+_BARE = r"֐-ࣿऀ-࿿ᄀ-ᇿ぀-ヿ㐀-鿿가-힯"
+_LETTER = r"[^\W\d_]"
+_CAP = rf"[{_U}](?:{_LETTER}|['’](?={_LETTER}))*"
 #: Words for kinds of streets, by the language of their word order.
-STREETS = "street st road rd avenue ave lane ln drive dr court ct way boulevard blvd place square terrace crescent"
-ROADS = "rue avenue boulevard place chemin allée impasse quai cours route"
-CALLES = "calle avenida plaza paseo camino carrer ronda travesía vía via piazza corso rua praça"
-STEMS = "straße strasse str. weg gasse platz allee damm ufer ring steig"
+STREETS = (
+    "street st road rd avenue ave lane ln drive dr court ct way boulevard blvd place pl square sq terrace ter crescent close gardens grove hill mews row walk rise circle cir highway hwy parkway pkwy trail alley plaza quay wharf green embankment esplanade passage broadway"
+)
+ROADS = "rue avenue boulevard place chemin allée impasse quai cours route passage square sentier faubourg"
+CALLES = "calle avenida avda plaza paseo camino carrer ronda travesía calzada vía via viale corso piazza largo vicolo rua travessa alameda praça strada bulevardul ulica ul. улица ул. проспект"
+STEMS = "straße strasse str. weg gasse platz allee damm ufer ring steig chaussee markt straat laan gracht plein kade dijk gatan gata vägen gade vej veien katu utca"
 
 
 def _alt(words: str) -> str:
     return "|".join(map(re.escape, words.split()))
 
 
+_NAMED = rf"(?:(?-i:[{_U}])[\w'’-]*|\d{{1,3}}(?:st|nd|rd|th)|[NSEW]\.)"
+_NUMBER = r"\d{1,5}(?:[-/]\d{1,4})? ?[a-zA-Z]?(?![\w])"
+_LINK = r"(?:d[eu]s? (?:la |l['’])?|d['’]|of |the |de(?:l|i|gli|lla| la| los| las)? |da |do |dos |das )?"
 ADDRESS = (
-    re.compile(rf"(?<![\w])\d{{1,5}}[a-zA-Z]?,? (?:(?-i:[A-Z])[\w'’-]* ){{1,3}}(?:{_alt(STREETS)})(?![\w])(?:(?<=st|rd|ln|dr|ct)\.|(?<=ave)\.|(?<=blvd)\.)?(?:,? (?:apt|suite|unit|flat|#)\.? ?\w{{1,6}}(?![\w]))?", re.I),
-    re.compile(rf"(?<![\w])(?-i:[A-ZÄÖÜ])[\w-]*?(?:{_alt(STEMS)}) ?\d{{1,5}} ?[a-zA-Z]?(?![\w])", re.I),
-    re.compile(rf"(?<![\w])\d{{1,5}}(?: ?bis| ?ter|[a-zA-Z])?,? (?:{_alt(ROADS)}) (?:d[eu]s? (?:la |l['’])?|d['’])?{_CAP}(?:[ -]{_CAP}){{0,2}}", re.I),
-    re.compile(rf"(?<![\w])(?:{_alt(CALLES)}) (?:de(?:l| la| los| las)? )?{_CAP}(?: {_CAP}){{0,2}},? (?:n[º°o]?\.? ?)?\d{{1,5}} ?[a-zA-Z]?(?![\w])", re.I),
+    re.compile(rf"(?<![\w])\d{{1,5}}(?:[-/]\d{{1,4}})?[a-zA-Z]?,? (?:{_NAMED} ){{1,3}}(?:{_alt(STREETS)})(?![\w])(?:(?<=st|rd|ln|dr|ct|pl|sq)\.|(?<=ave|ter|cir)\.|(?<=blvd|pkwy)\.)?(?: [NSEW]{{1,2}}(?![\w]))?(?:,? (?:apt|suite|unit|flat|#)\.? ?\w{{1,6}}(?![\w]))?|(?<![\w])\d{{1,5}}[a-zA-Z]? (?-i:Broadway|The [{_U}]\w+)(?![\w])", re.I),
+    re.compile(rf"(?<![\w])(?-i:[{_U}])[\w-]*?(?:{_alt(STEMS)}) ?{_NUMBER}", re.I),
+    re.compile(rf"(?<![\w])\d{{1,5}}(?: ?bis| ?ter|[a-zA-Z])?,? (?:{_alt(ROADS)}) {_LINK}(?-i:{_CAP})(?:[ -](?-i:{_CAP})){{0,2}}", re.I),
+    re.compile(rf"(?<![\w])(?:{_alt(CALLES)}) {_LINK}(?-i:{_CAP})(?: {_LINK}(?-i:{_CAP})){{0,2}},? (?:n[º°o]?\.? ?|№ ?|д(?:ом|\.)? ?)?{_NUMBER}", re.I),
+    re.compile(rf"(?<![\w])(?-i:[{_U}])[\w-]*(?: (?-i:[{_U}])[\w-]*)? (?:{_alt(STEMS)}) {_NUMBER}", re.I),
+    re.compile(rf"(?<![\w])(?:am|an der|an den|auf der|auf dem|im|in der|unter den|zum|zur|hinter der|vor dem|aan de|op de) (?-i:{_CAP})(?: (?-i:{_CAP}))? {_NUMBER}", re.I),
 )
 ADDRESS_WORD = re.compile(rf"{_alt(STREETS)}|{_alt(STEMS)}|{_alt(ROADS)}|{_alt(CALLES)}", re.I)
-_L = "A-ZÀ-ÖØ-ÞŁŚŻ"
-_NAMEPART = rf"(?:[{_L}][a-zà-öø-ÿł'’]+(?:[{_L}][a-z]+)?|[{_L}]{{2,}})"
-_SURNAME = rf"{_NAMEPART}(?:[-‐]{_NAMEPART})?"
-#: Tried at capitals that begin a word.
-NAME = (
-    re.compile(rf"{_SURNAME} (?:[{_L}]\. ?)?{_SURNAME}(?![\w])"),
-    re.compile(rf"[{_L}]\. ?(?:[{_L}]\. ?)?{_SURNAME}(?![\w])"),
-    re.compile(rf"{_SURNAME}, ?(?:{_NAMEPART}|[{_L}]\.)(?: [{_L}]\.)?(?![\w])"),
-)
-_CAPITAL = re.compile(rf"[{_L}]")
+#: Words between the parts of a name.
+PARTICLES = "de la|de los|de las|van der|van den|von der|de|da|do|dos|das|del|della|di|du|la|le|van|von|den|der|ter|ten|zu|al|el|bin|ibn|ben|af|av"
+_CAPS = rf"{_CAP}(?:[-‐]{_CAP})*"
+#: Runs of capital words, initials and particles; every stretch of up to MOST_WORDS of them is a candidate.
+RUN = re.compile(rf"(?<![\w.'’-])(?:[{_U}]\.|{_CAPS}(?![\w]))(?:(?:[ \xa0]{{1,2}}|(?<=\.))(?:[{_U}]\.|{_CAPS}(?![\w])|(?:{PARTICLES})(?=[ \xa0]{{1,2}}[{_U}])))+")
+_RUN_WORD = re.compile(rf"[{_U}]\.|{_CAPS}|[a-z]+(?: (?:la|los|las|der|den)(?=[ \xa0]))?")
+MOST_WORDS = 5
+TURNED = re.compile(rf"(?<![\w.'’-])(?=({_CAPS}(?: {_CAPS})?, ?(?:[{_U}]\.|{_CAPS})(?: (?:[{_U}]\.|{_CAPS}))?)(?![\w]))")
+#: Names in scripts without capitals: two words, or a few characters of Chinese, Japanese and Korean.
+BARE = re.compile(r"(?<![^\W\d_])(?:[㐀-鿿]{2,4}(?:[ ・　][㐀-鿿]{1,3})?|[゠-ヿ]{2,8}[ ・　][゠-ヿ]{2,8}|[가-힯]{2,4}|[֐-ࣿ]{2,12} [֐-ࣿ]{2,12}|[ऀ-࿿]{2,16} [ऀ-࿿]{2,16})(?=様|さん|先生|氏|님|씨|[\W\d_]|$)")
+_SOME_BARE = re.compile(rf"[{_BARE}]")
 _SEVEN = re.compile(r"\d(?:[^\dA-Za-z]{0,3}\d){6}")
 _FOUR = re.compile(r"\d{4}[ -]?[A-Za-z](?![A-Za-z0-9])")
-_NUMBERED = re.compile(r"\d[A-Za-z]?,? [A-Z]")
+_NUMBERED = re.compile(rf"\d[A-Za-z]?,? (?:[{_U}]|\d)")
 _SPELT_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
 _ROADS, _CALLES, _STEMS = ROADS.split(), CALLES.split(), STEMS.split()
+_AT_PLACE = re.compile(r"\b(?:am|an|auf|im|in|unter|zum|zur|hinter|vor|aan|op)(?: de[rnm]?)? [A-ZÄÖÜ]", re.I)
 
 #: An escape that may read as a letter, a digit, an at sign, part of another escape or a character beyond ASCII. Texts with one, with digits beyond ASCII or with the
 #: letters that re.I takes for s, k and i go to Python as they are, so the other branches meet plain characters and escapes of ASCII punctuation only.
@@ -139,73 +174,72 @@ _ODD = r"(?:25|26|5[cC]|[89a-fA-F][0-9a-fA-F]|3[0-9]|4[0-9a-fA-F]|5[0-9aA]|6[1-9
 _OPAQUE = (
     rf"%{_ODD}|\\(?:[\\%&+]|u(?:00{_ODD}|(?!00)[0-9A-Fa-f]{{4}}))",
     r"&(?:(?!(?:quot|apos|lt|gt|nbsp);)(?:#\w{1,7}|[A-Za-z]{2,6});|[#A-Za-z0-9]{0,7}(?:%|\\u00)(?:23|3[bB]))",
-    "(?=[Ā-\U0010ffff])(?:\\p{Nd}|[ſKİı])",
+    rf"(?=[^\x00-\x7f])(?:[{_BARE}]|\p{{Nd}}|[ſKİı])",
 )
-#: The JVM pattern all candidates satisfy, on raw text. Its branches begin with a character of few places, and look back from there.
+#: The JVM pattern all candidates satisfy, on raw text, in groups by the kind of character they begin with.
 #: Spark's \w, \d and (?i:) know ASCII only, so letters beyond are named.
-_SEP = r"(?:[ +./()\-\xa0‐-― ]|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\/|&nbsp;)"
-_BLANK = r"(?:[ +,\xa0]|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4})"
+_SEP = r"(?:[ +./()\-\xa0‐-― ]|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\/|&nbsp;)"
+_BLANK = r"(?:[ +,\xa0]|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|&nbsp;)"
 _SPACE = r"(?:[\s\x1c-\x1f\x85\p{Z}+]|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[nrt]|&nbsp;)?"
-_BEHIND = r"(?: |%|\+|\\u)?"
 _BEFORE = r"(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[nrt])"
-_STEM = r"stra(?:[ßẞ]|ss)e|str(?:\.|%2e|\\u002e)|weg|gasse|platz|allee|damm|ufer|ring|steig"
 _DASH = r"(?:[ \-+]|%2[0bBdD]|\\u002[0bBdD])?"
-_WORD = rf"(?:[{_L}a-zà-öø-ÿł'’‐-]++|%2[7dD]|\\u002[7dD]|&apos;)"
+_WORD = r"(?:[\p{L}\p{M}'’‐-]++|%2[7dD]|\\u002[7dD]|&apos;)"
 
 
 def _anycase(words: str) -> str:
-    return re.sub(r"[^\x00-\x7f]", lambda m: f"[{m[0]}{m[0].upper()}]", _alt(words))
+    both = re.sub(r"[^\x00-\x7f]", lambda m: f"[{m[0]}{m[0].upper() if len(m[0].upper()) == 1 else 'ẞ'}]", _alt(words))
+    return both.replace(r"\.", r"(?:\.|%2[eE]|\\u002[eE])")
 
 
+def _heads(words: str) -> str:
+    return "".join(sorted({c for w in words.split() for c in (w[0], w[0].upper())}))
+
+
+_ENDS = _anycase(" ".join(sorted({w[-2:] for w in STEMS.split()})))
 _SEVEN_RAW = rf"\d(?:{_SEP}{{0,4}}\d){{6}}"
 _CALLE = rf"(?i:(?:{_anycase(CALLES)}){_BLANK})"
+_PREPOSITION = rf"(?i:am|an{_BLANK}de[rn]|auf{_BLANK}de[rm]|i[mn]|in{_BLANK}der|unter{_BLANK}den|zu[mr]|hinter{_BLANK}der|vor{_BLANK}dem|aan{_BLANK}de|op{_BLANK}de){_BLANK}{{1,3}}\p{{Lu}}{_WORD}*+(?:{_BLANK}{{1,3}}\p{{Lu}}{_WORD}*+)?{_BLANK}{{1,3}}\d"
+_GLUED = r"\p{Lu}\.\p{Lu}"
 CANDIDATE = "|".join((
-    rf"@|(?:[\[({{]|(?:%|\\u00)(?:5[bB]|28|7[bB])){_SPACE}(?:at|AT|At|aT){_SPACE}(?:[\])}}]|(?:%|\\u00)(?:5[dD]|29|7[dD]))",
     r"(?=\d)(?:"
     + rf"(?<![A-Za-z0-9]){_SEVEN_RAW}"
     + rf"|\d{{4}}{_DASH}[A-Za-z](?![A-Za-z0-9])(?<=[A-Za-z]{{5}}{_DASH}\d{{4}}{_DASH}[A-Za-z])"
-    + rf"|\d(?:[A-Za-z]|{_BLANK}?(?i:bis|ter))?{_BLANK}{{1,4}}(?:[A-Z]|(?i:{_anycase(ROADS)}))"
+    + rf"|\d(?:[A-Za-z]|{_BLANK}?(?i:bis|ter))?{_BLANK}{{1,4}}(?:\p{{Lu}}|\d{{1,3}}(?i:st|nd|rd|th)|(?i:{_anycase(ROADS)}))"
+    + rf"|\d(?<=(?i:{_ENDS})(?: |%|\+|\\u)?\d)(?<=(?i:{_anycase(STEMS)})(?: |%|\+|\\u)?\d)"  # the ends alone are a cheap first look
     + ")",
-    rf"(?i:(?=[adgprsuw])(?:{_STEM}){_BEHIND}\d)",
-    rf"(?=[{_L}])(?:[{_L}]{_WORD}*+\.?{_BLANK}{{1,3}}[{_L}]|(?<![A-Za-z0-9_])[{_L}]\.[{_L}])",
-    rf"(?<![A-Za-z])(?=[caprtvCAPRTV]){_CALLE}",
+    rf"(?=[A-Z]|[^\x00-\x7f])(?:\p{{Lu}}{_WORD}*+\.?{_BLANK}{{1,3}}(?:(?:{PARTICLES.replace(' ', _BLANK)}){_BLANK}{{1,3}})?\p{{Lu}}|(?<![A-Za-z0-9_]){_GLUED})",
+    rf"(?<![A-Za-z])(?=[{_heads(CALLES)}aiuzhvoAIUZHVO])(?:{_CALLE}|{_PREPOSITION})",
+    rf"@|(?:[\[({{]|(?:%|\\u00)(?:5[bB]|28|7[bB])){_SPACE}(?:at|AT|At|aT){_SPACE}(?:[\])}}]|(?:%|\\u00)(?:5[dD]|29|7[dD]))",
     # what begins behind an escape is reached from the escape
-    rf"(?=[%\\])(?:{_OPAQUE[0]}|{_BEFORE}(?:{_SEVEN_RAW}|[{_L}]\.[{_L}]|{_CALLE}))",
+    rf"(?=[%\\])(?:{_OPAQUE[0]}|{_BEFORE}(?:{_SEVEN_RAW}|{_GLUED}|{_CALLE}|{_PREPOSITION}))",
     *_OPAQUE[1:],
 ))
 
-#: What any text that satisfies the pattern has: a first, cheap test. All branches need a capital, a sign of an address or an escape, seven digits, or digits as in a permanent account number.
-HINT = r"[A-Z@%&\\(\[{]|[^\x00-\x7f]|\d(?:[ +./\-)]{0,4}\d){6}|\d{4}[ \-+]?[a-z](?![a-z0-9])"
+#: What any text that satisfies the pattern has: a first, cheap test. All branches need a capital, a sign of an address or an escape, seven digits, an ordinal, or digits as in a permanent account number.
+HINT = r"[A-Z@%&\\(\[{]|[^\x00-\x7f]|\d(?:[ +./\-)]{0,4}\d){6}|\d(?:st|nd|rd|th)|\d{4}[ \-+]?[a-z](?![a-z0-9])"
 
 # ---------------------------------------------------------------- features
 
-#: Common given names of several languages, a feature and not a condition.
-GIVEN = frozenset(
-    "anna anton anika ana alice ahmed aisha ben bram beatriz boris carla clara carlos celeste chen daniel dario david diego dora elena elif emma erik eva farid fatima felix "
-    "greta george grace hans henrik hana hiro ian ines idris ivan jan jarek james john jordan julia karl katya kofi kenji lara laura leif leo lorenz lucia luis maria marta maren mary max mona "
-    "nadia nils nina oksana odette olga omar oscar pablo paul paula pedro peter piers priya renske rosa ravi sara simon sofia sunil sven tamsin thea tom uma ulf vera viktor wanja wei ximena yannick yusra yara zora zoe".split()
-)
-#: Ordinary words that head or end phrases written with capitals.
-NOUNS = frozenset(
-    "valley period sale view street road lane gate depot plan zone mac os linux android phone windows server cloud service center centre order invoice line label parcel pallet batch slot shelf rack "
-    "coupon quote retry return stock discount rule customer scanner number ticket call regards dear build firmware window ping summer winter spring autumn week month day year north south east west new old "
-    "lake river park bridge hill house hall tower port station airport bank school college university museum hotel club union council street apt suite the this that these those and for with from your our their "
-    "le la les un une el los las der die das ein eine retry lieferfenster bordereau lote please leave bitte bounce moved pickup courier identity document ssn pan kyc number reached spoke joindre livraison lieferung entregar "
-    "unterschrieben recibido rückruf escribir colis ausweisnummer mozilla intel gecko firefox chrome safari grpc content type host user agent accept language order cart tray order track summer mr ms mrs dr id no ref".split()
-)
-#: Endings that surnames of several languages have.
-ENDINGS = ("enko", "owska", "owski", "ska", "ski", "etti", "elli", "ini", "berger", "mann", "sen", "son", "dahl", "quist", "vik", "worth", "ridge", "velle", "ado", "aga", "ez", "ova", "ov", "ev", "ic", "ton", "ham", "ley", "ford", "stein", "feld", "bach", "ström", "lund", "escu", "idis", "yan", "oglu", "ner", "ler")
-PERSON_CUE = frozenset("dear regards with by von par pour por para mr ms mrs dr mr/ms signed für an ist client customer name contact recipient sincerely hello hi hola frau herr señor señora mme m an to from attn".split())
+#: Words before a span, and parts of the key it stands under, that go with a type. Common words of several languages.
+CUES = {
+    "person_name": frozenset(
+        "dear hi hello hey hallo liebe lieber geehrte geehrter frau herr herrn bonjour madame monsieur hola señor señora don doña estimado estimada signor signora gentile mr mrs ms miss mx dr prof sir dame "
+        "by with from cc attn attention contact author name named called client customer patient manager employee colleague regards sincerely thanks thank wishes best signed yours von mit an für par pour avec por para con de ask asked met saw told interview".split()
+    ),
+    "phone": frozenset("call phone telephone tel t f m mobile cell cellphone fax dial ring text sms whatsapp reach reached contact number hotline telefon telefonnummer handy mobil anrufen unter téléphone portable appeler appelez au teléfono móvil llamar llame al telefono cellulare chiamare on at".split()),
+    "email": frozenset("email e-mail mail write contact to from cc".split()),
+    "national_id": frozenset("ssn social security id identity pan aadhaar aadhar uid tax taxpayer tin itin national number no nr kyc citizen passport document identification ausweis personalausweis identité identidad".split()),
+    "street_address": frozenset("at to in en an au a auf im chez near address street live lives living moved ship deliver visit office located residence von nach wohnhaft anschrift adresse habite domicile vive domicilio dirección abita indirizzo outside on".split()),
+}
 KEYS = {
-    "person_name": ("name", "customer", "recipient", "operator", "behalf", "contact", "person", "people", "subject", "lookup", "signer", "attn"),
-    "phone": ("phone", "tel", "mobile", "callback", "msisdn", "fax", "cell", "contact"),
-    "email": ("mail", "login", "reply", "contact", "from", "notify"),
-    "national_id": ("ssn", "tax", "doc", "idnumber", "kyc", "subject", "national", "pan", "aadhaar", "id_number"),
-    "street_address": ("addr", "street", "ship", "delivery", "address"),
+    "person_name": ("name", "customer", "client", "person", "people", "contact", "recipient", "sender", "author", "owner", "user", "employee", "patient", "holder", "signer", "attn", "member", "passenger"),
+    "phone": ("phone", "tel", "mobile", "cell", "fax", "msisdn", "contact", "call", "sms", "whatsapp"),
+    "email": ("mail", "login", "user", "reply", "contact", "from", "to"),
+    "national_id": ("ssn", "social", "tax", "tin", "identity", "idnumber", "id_number", "national", "pan", "aadhaar", "aadhar", "kyc", "passport", "citizen"),
+    "street_address": ("addr", "street", "location", "residence", "home", "line1", "ship", "delivery", "billing"),
 }
-PHONE_CUE = frozenset("call back ring phone tel tel: mobile number left reached via unter au on them fax callback courier client under dial".split())
-ID_CUE = frozenset("ssn id tax pan aadhaar identity against document kyc typed ausweisnummer number no file applicant".split())
-_DATE = re.compile(r"^(?:19|20)\d\d[-/. ](?:0?[1-9]|1[0-2])[-/. ](?:[0-2]?\d|3[01])(?!\d)")
+_DATE = re.compile(r"^(?:19|20)\d\d[-/. ](?:0?[1-9]|1[0-2])[-/. ](?:[0-2]?\d|3[01])(?!\d)|^(?:[0-2]?\d|3[01])[-/. ](?:[0-2]?\d|3[01])[-/. ](?:19|20)\d\d(?!\d)")
+_LAST_WORDS = re.compile(r"[^\W\d_][\w-]*")
 
 
 def _tail(left: str, extra: str) -> str:
@@ -216,23 +250,25 @@ def _tail(left: str, extra: str) -> str:
     return left[i:].lower()
 
 
-def _near(text: str, start: int) -> tuple[str, str]:
-    """The word before a place, and the key if what stands before is ``key=``, ``"key": "``, ``<key>``, a header name or a path segment."""
+def _near(text: str, start: int) -> tuple[list[str], str]:
+    """The words before a place, nearest first, and the key if what stands before is ``key=``, ``"key": "``, ``<key>``, a header name or a path segment."""
     left = text[max(0, start - 40) : start]
-    word = _tail(left.rstrip(" \t\n\r:.,;='\"()>["), "_/")
     at = left.rstrip("\"' \t\n\r")
     key = _tail(at[:-1].rstrip("\"' \t\n\r"), "_.-") if at and at[-1] in "=:>\x1f/" else ""
-    return word, key
+    return _LAST_WORDS.findall(left.lower())[-3:][::-1], key
 
 
-def _cues(kind: str, word: str, key: str, cue: frozenset[str]) -> list[str]:
+def _cues(kind: str, text: str, start: int) -> list[str]:
+    words, key = _near(text, start)
     f = []
     if key and any(k in key for k in KEYS[kind]):
         f.append(f"{kind}:key")
-    elif key:
+    elif key and text[start - 1 : start] != " ":
         f.append(f"{kind}:other_key")
-    if word in cue:
+    if words and words[0] in CUES[kind]:
         f.append(f"{kind}:cue")
+    elif any(w in CUES[kind] for w in words[1:]):
+        f.append(f"{kind}:far_cue")
     return f
 
 
@@ -252,7 +288,6 @@ def _numbers(text: str, a: int, b: int, inside: bool) -> dict[str, list[str]]:
     span = text[a:b]
     digits = re.sub(r"\D", "", span)
     n = len(digits)
-    word, key = _near(text, a)
     out = {}
     seps = set(re.sub(r"[\d+()]", "", span))
     sizes = [len(x) for x in re.findall(r"\d+", span)]
@@ -284,7 +319,7 @@ def _numbers(text: str, a: int, b: int, inside: bool) -> dict[str, list[str]]:
             f.append("phone:tiny_group")
         if inside:
             f.append("phone:part")
-        out["phone"] = f + _cues("phone", word, key, PHONE_CUE)
+        out["phone"] = f + _cues("phone", text, a)
     if n in (9, 12) and "+" not in span and "(" not in span:
         f = []
         if sizes == [3, 2, 4]:
@@ -297,7 +332,7 @@ def _numbers(text: str, a: int, b: int, inside: bool) -> dict[str, list[str]]:
         if f:
             if inside:
                 f.append("national_id:part")
-            out["national_id"] = f + _cues("national_id", word, key, ID_CUE)
+            out["national_id"] = f + _cues("national_id", text, a)
     return out
 
 
@@ -310,59 +345,80 @@ def _pan(text: str, a: int, b: int) -> list[str]:
 def _address(text: str, a: int, b: int, way: int) -> list[str]:
     span = text[a:b]
     f = [f"street_address:way{way}"]
-    names = [w for w in re.findall(r"[^\W\d_]+", span) if not ADDRESS_WORD.fullmatch(w)]
-    if names and all(w[0].isupper() for w in names if len(w) > 3):
+    names = [w for w in re.findall(rf"{_LETTER}+", span) if not ADDRESS_WORD.fullmatch(w)]
+    long = [w for w in names if len(w) > 3]
+    if long and all(w[0].isupper() for w in long):
         f.append("street_address:capital")
-    elif not any(w[0].isupper() for w in names):
-        f.append("street_address:lower")
-    word, key = _near(text, a)
-    return f + _cues("street_address", word, key, frozenset(("at", "to", "en", "an", "au", "parcel", "address")))
+    kinds = {classify(w) for w in long}
+    if kinds and kinds <= {"o", "q"}:
+        f.append("street_address:ordinary")
+    words, _ = _near(text, a)
+    gap = text[max(0, a - 2) : a]
+    if span[:1].isdigit() and words and gap.endswith(" ") and not gap.startswith((",", ":", ".", ";")) and words[0] not in CUES["street_address"]:
+        f.append("street_address:counted")  # a thing with a number in front, such as a gate
+    after = re.match(rf" ({_LETTER}+)", text[b : b + 30])
+    if after and way in (0, 2):
+        f.append("street_address:goes_on_capital" if after[1][0].isupper() else "street_address:goes_on")
+    return f + _cues("street_address", text, a)
 
 
 @lru_cache(1 << 16)
-def _part(w: str) -> tuple[str, ...]:
-    low = w.lower()
-    f = []
-    if low in GIVEN:
-        f.append("given")
-    if low in NOUNS:
-        f.append("noun")
-    if any(p.endswith(ENDINGS) and len(p) > 4 for p in low.split("-")):
-        f.append("ending")
-    return tuple(f)
+def _class(w: str) -> str:
+    return classify(w)
+
 
+_ANY_WORD = re.compile(rf"{_LETTER}+(?:['’-]{_LETTER}+)*")
 
-def _name(text: str, a: int, b: int, way: int) -> list[str]:
+
+def _name(text: str, a: int, b: int, way: str, cls=None) -> list[str]:
+    """``cls`` gives the class of a word; training hides some of them."""
     span = text[a:b]
-    parts = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", span)
-    words = [p for p in parts if len(p) > 1]
-    first, last = (words[0], words[-1]) if way != 2 else (words[-1], words[0])
-    f = [f"person_name:way{way}"]
+    cls = cls or _class
+    parts = _ANY_WORD.findall(span)
+    words = [p for p in parts if len(p) > 1 and p[0].isupper()] or parts
+    first, last = (words[0], words[-1]) if way != "turned" else (words[-1], words[0])
+    f = [f"person_name:{way}"]
     if len(words) > 1:
-        f += [f"person_name:first_{x}" for x in _part(first)]
-    f += [f"person_name:last_{x}" for x in _part(last)]
-    if not any(_part(w) for w in words):
-        f.append("person_name:unknown")
-    upper = [w.isupper() for w in words if len(w) > 1]
+        f.append(f"person_name:pair_{cls(first)}{cls(last)}")
+        f += [f"person_name:middle_{cls(w)}" for w in words[1:-1]]
+    else:
+        f.append(f"person_name:single_{cls(last)}")
+    f.append(f"person_name:words{min(len(words), 4)}")
+    upper = [w.isupper() for w in words]
     if all(upper):
         f.append("person_name:upper")
     elif any(upper):
         f.append("person_name:mixed")
+    if words[-1].isupper() and len(words[-1]) < 5:
+        f.append(f"person_name:acronym_{way}")
+    if any(len(w) > 2 and not w.isupper() and any(c.isupper() for c in w[3:].split("-")[0]) for w in words):
+        f.append("person_name:camel")
     if "-" in span:
         f.append("person_name:hyphen")
-    if len(parts) > len(words):
-        f.append("person_name:initial")
-    word, key = _near(text, a)
-    f += _cues("person_name", word, key, PERSON_CUE)
-    after = re.match(r"['\"]?\s*([^\W\d_]+)?", text[b : b + 24])
-    if after and after[1] and after[1][0].isupper() and _part(after[1]) and "noun" in _part(after[1]) and text[b : b + 1] == " ":
-        f.append("person_name:before_noun")
-    if text[b : b + 1].isdigit() or re.match(r"[ .]?\d", text[b : b + 2]):
+    if any(ADDRESS_WORD.fullmatch(w) for w in parts):
+        f.append("person_name:street_word")
+    if len(parts) > len(words) and way == "run":
+        f.append("person_name:particle_or_initial")
+    f += _cues("person_name", text, a)
+    before = re.search(rf"({_LETTER}+)([.:!?]?)[ \xa0]{{1,2}}$", text[max(0, a - 24) : a])
+    if before and not before[2]:
+        if before[1][0].isupper():
+            f.append(f"person_name:behind_{cls(before[1])}")
+        elif before[1] not in CUES["person_name"]:
+            f.append(f"person_name:behind_low_{way}")
+    after = re.match(rf"[ \xa0]{{1,2}}({_LETTER}+)", text[b : b + 24])
+    if after and after[1][0].isupper():
+        f.append(f"person_name:ahead_{cls(after[1])}")
+    if re.match(r"[ .#]{0,2}\d", text[b : b + 3]):
         f.append("person_name:before_number")
+    if text[b : b + 1] == "," and re.match(rf", {_LETTER}+ \d", text[b : b + 20]):
+        f.append("person_name:before_count")
+    if re.search(r"\d ?$", text[max(0, a - 2) : a]):
+        f.append("person_name:behind_number")
     return f
 
 
-def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
+def candidates(text: str, cls=None) -> list[tuple[int, int, str, list[str]]]:
     """All candidate spans (start, end, type, features). Cheap tests spare the patterns that cannot match."""
     out = []
     low = text.lower()
@@ -372,86 +428,118 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
     for m in GROUPS.finditer(text) if _SEVEN.search(text) else ():
         if sum(map(str.isdigit, m[0])) < 7:
             continue
-        gs = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m[0])]
+        gs = [(m.start() + g.start(), m.start() + g.end(), sum(map(str.isdigit, g[0]))) for g in _GROUP.finditer(m[0])]
         for i in range(len(gs)):
+            digits = 0
             for j in range(i, min(len(gs), i + 8)):
-                a, b = gs[i][0], gs[j][1]
-                if b - a > 24:
+                digits += gs[j][2]
+                if digits > 15:
                     break
-                for kind, f in _numbers(text, a, b, i > 0 or j < len(gs) - 1).items():
+                a, b = gs[i][0], gs[j][1]
+                for kind, f in _numbers(text, a, b, i > 0 or j < len(gs) - 1).items() if digits >= 7 else ():
                     out.append((a, b, kind, f))
     if _FOUR.search(text):
         for m in PAN.finditer(text):
             out.append((m.start(), m.end(), "national_id", _pan(text, m.start(), m.end())))
-    may = (_NUMBERED.search(text), any(w in low for w in _STEMS), any(f" {w} " in low for w in _ROADS), any(w in low for w in _CALLES))
+    stem = any(w in low for w in _STEMS)
+    may = (_NUMBERED.search(text), stem, any(f"{w} " in low for w in _ROADS), any(w in low for w in _CALLES), stem, _AT_PLACE.search(text))
     for way, p in enumerate(ADDRESS):
         for m in p.finditer(text) if may[way] else ():
-            if m.end() - m.start() <= LONGEST:
-                out.append((m.start(), m.end(), "street_address", _address(text, m.start(), m.end(), way)))
-    for c in _CAPITAL.finditer(text):
-        a = c.start()
-        if a and (text[a - 1].isalnum() or text[a - 1] in "_.'’-"):
-            continue
-        for way, p in enumerate(NAME):
-            m = p.match(text, a)
-            if m and m.end() - a <= LONGEST:
-                out.append((a, m.end(), "person_name", _name(text, a, m.end(), way)))
+            out.append((m.start(), m.end(), "street_address", _address(text, m.start(), m.end(), way)))
+    for m in RUN.finditer(text):
+        ws = [(m.start() + w.start(), m.start() + w.end(), text[m.start() + w.start()].isupper()) for w in _RUN_WORD.finditer(m[0])]
+        for i in range(len(ws)):
+            if not ws[i][2]:
+                continue
+            full = ws[i][1] - ws[i][0] > 2
+            for j in range(i + 1, min(len(ws), i + MOST_WORDS)):
+                if ws[j][2] and text[ws[j][1] - 1] != "." and ws[j][1] - ws[j][0] > 1:
+                    out.append((ws[i][0], ws[j][1], "person_name", _name(text, ws[i][0], ws[j][1], "run" if full else "initial", cls)))
+    if "," in text:
+        for m in TURNED.finditer(text):
+            out.append((*m.span(1), "person_name", _name(text, *m.span(1), "turned", cls)))
+    if not text.isascii() and _SOME_BARE.search(text):
+        for m in BARE.finditer(text):
+            out.append((m.start(), m.end(), "person_name", ["person_name:bare", *_cues("person_name", text, m.start())]))
     return out
 
 
 # ---------------------------------------------------------------- the model
 
 
+#: Entities at most so many characters apart score as neighbours.
+CLOSE = 3
+
+
 def score(features: list[str], weights: dict[str, float]) -> float:
     kind = features[0].split(":")[0]
     return weights.get(f"{kind}:bias", 0.0) + sum(weights.get(f, 0.0) for f in features)
 
 
+def neighbours(order: list[tuple], ends: list[int], k: int) -> tuple[int, int]:
+    """(far, near): of the spans in order of their ends, the first ``far`` end well before span ``k`` begins, those up to ``near`` close before."""
+    a = order[k][0]
+    return bisect.bisect_left(ends, a - CLOSE), bisect.bisect_right(ends, a)
+
+
+def link(left: str, right: str) -> str:
+    return f"{left}>{right}"
+
+
 def viterbi(spans: list[tuple[int, int, str, list[str]]], weights: dict[str, float]) -> list[tuple[int, int, str]]:
     """The best segmentation; ordinary text scores 0. Its cost follows the number of candidates."""
-    order = sorted((s for s in spans), key=lambda s: s[1])
+    order = sorted(spans, key=lambda s: s[1])
     ends = [s[1] for s in order]
-    best: list[float] = [0.0]
-    back: list[tuple[int, bool]] = [(0, False)]
-    import bisect
-
-    for k, (a, _, _, f) in enumerate(order):
-        j = bisect.bisect_right(ends, a, 0, k)
-        take = best[j] + score(f, weights)
-        best.append(max(best[-1], take))
-        back.append((j, True) if take > best[k] else (k, False))
-    found, k = [], len(order)
-    while k:
-        j, taken = back[k]
-        if taken:
-            found.append(order[k - 1][:3])
-        k = j
+    best: list[float] = []  # of segmentations that end with span k
+    back: list[int] = []
+    top: list[tuple[float, int]] = [(0.0, -1)]  # the best of the first k spans, or none of them
+    for k, (_, _, kind, f) in enumerate(order):
+        far, near = neighbours(order, ends, k)
+        value, where = top[far]
+        for j in range(far, min(near, k)):
+            v = best[j] + weights.get(link(order[j][2], kind), 0.0)
+            if v > value:
+                value, where = v, j
+        best.append(value + score(f, weights))
+        back.append(where)
+        top.append(max(top[-1], (best[-1], k), key=lambda t: t[0]))
+    found, k = [], top[-1][1]
+    while k >= 0:
+        found.append(order[k][:3])
+        k = back[k]
     return found[::-1]
 
 
-def marginals(spans: list[tuple[int, int, str, list[str]]], weights: dict[str, float]) -> tuple[float, list[float]]:
-    """Log partition function and each candidate's probability, by forward and backward sums over the lattice."""
-    points = sorted({p for s in spans for p in s[:2]})
-    at = {p: k for k, p in enumerate(points)}
-    n = len(points)
-    arcs = [(at[a], at[b], score(f, weights)) for a, b, _, f in spans]
-    into: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    outof: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    for a, b, s in arcs:
-        into[b].append((a, s))
-        outof[a].append((b, s))
+def marginals(spans: list[tuple[int, int, str, list[str]]], weights: dict[str, float]) -> tuple[float, list[float], dict[tuple[int, int], float]]:
+    """Log partition function, each candidate's probability and that of each pair of neighbours, by forward and backward sums over the lattice."""
+    n = len(spans)
+    place = sorted(range(n), key=lambda i: spans[i][1])
+    order = [spans[i] for i in place]
+    ends = [s[1] for s in order]
+    own = [score(s[3], weights) for s in order]
 
     def total(xs: list[float]) -> float:
-        top = max(xs)
-        return top + math.log(sum(math.exp(x - top) for x in xs))
-
-    fw, bw = [0.0] * n, [0.0] * n
-    for k in range(1, n):
-        fw[k] = total([fw[k - 1], *(fw[a] + s for a, s in into[k])])
-    for k in range(n - 2, -1, -1):
-        bw[k] = total([bw[k + 1], *(bw[b] + s for b, s in outof[k])])
-    z = fw[-1] if n else 0.0
-    return z, [math.exp(fw[a] + s + bw[b] - z) for a, b, s in arcs]
+        high = max(xs)
+        return high + math.log(sum(math.exp(x - high) for x in xs))
+
+    before: list[list[tuple[int, float]]] = []
+    fw: list[float] = []
+    for k in range(n):
+        far, near = neighbours(order, ends, k)
+        before.append([(j, 0.0 if j < far else weights.get(link(order[j][2], order[k][2]), 0.0)) for j in range(min(near, k))])
+        fw.append(own[k] + total([0.0, *(fw[j] + w for j, w in before[k])]))
+    z = total([0.0, *fw])
+    bw = [[0.0] for _ in range(n)]
+    done = [0.0] * n
+    for k in range(n - 1, -1, -1):
+        done[k] = total(bw[k])
+        for j, w in before[k]:
+            bw[j].append(w + own[k] + done[k])
+    p = [0.0] * n
+    for k in range(n):
+        p[place[k]] = math.exp(fw[k] + done[k] - z)
+    pairs = {(place[j], place[k]): math.exp(fw[j] + w + own[k] + done[k] - z) for k in range(n) for j, w in before[k] if j >= neighbours(order, ends, k)[0]}
+    return z, p, pairs
 
 
 def find(text: str, weights: dict[str, float] = WEIGHTS) -> list[tuple[int, int, str]]:
@@ -523,7 +611,7 @@ def found(t: DataFrame) -> DataFrame:
     return fields(t).mapInArrow(_found, "txn_id long, field string, pii_type string").distinct()
 
 
-def _redact_map(pairs: list[tuple[str, str]] | None) -> list[tuple[str, str]] | None:
+def _redact_map(pairs: list[tuple[str, str]] | None, redact=redact) -> list[tuple[str, str]] | None:
     if pairs is None:
         return None
     out: dict[str, str | None] = {}
@@ -541,7 +629,7 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.map_(pa.string(), pa.string())
     for b in batches:
         path, body = ([x if hit is not True else f(x) for x, hit in zip(b.column(k).to_pylist(), b.column(k + 4).to_pylist())] for k, f in ((1, short), (2, redact)))
-        maps = [[x if hit is not True else _redact_map(x) for x, hit in zip(b.column(k).to_pylist(), b.column(k + 4).to_pylist())] for k in (3, 4)]
+        maps = [[x if hit is not True else _redact_map(x, short) for x, hit in zip(b.column(k).to_pylist(), b.column(k + 4).to_pylist())] for k in (3, 4)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(path, pa.string()), pa.array(body, pa.string()), *(pa.array(m, kind) for m in maps)], names=["id", "req_path", "req_body", "req_query", "req_headers"])
 
 

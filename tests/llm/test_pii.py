@@ -38,10 +38,11 @@ def test_redaction_keeps_all_else():
 
 
 def test_decoding_remembers_places():
-    for raw in ("a%20b", "x\\u00e9y", "&amp;&#64;z", "%25C3%25A9", "\\ud83d\\ude00!", "a+b", "+49", "plain"):
+    for raw in ("a%20b", "x\\u00e9y", "&amp;&#64;z", "%25C3%25A9", "%2525252540", "&amp;amp;amp;lt;x", "a%252525", "\\ud83d\\ude00!", "a+b", "+49", "plain"):
         text, at = pii.decode(raw)
         if at is not None:
             assert len(at) == len(text) + 1 and at[0] == 0 and at[-1] == len(raw) and all(a <= b for a, b in zip(at, at[1:]))
+    assert pii.decode("%" + "25" * 2000 + "40z")[0] == "@z" and pii.decode("&" + "amp;" * 2000 + "lt;")[0] == "<"
     assert pii.decode("R%25C3%25BCck")[0] == "Rück" and pii.decode("a+b")[0] == "a b" and pii.decode("x=+49")[0] == "x=+49" and pii.decode("j+r@e.org")[0] == "j+r@e.org"
 
 
@@ -72,17 +73,46 @@ def test_best_segmentation_is_the_best_of_all():
         return skip
 
     assert sum(w[s[3][0]] for s in spans if s[:3] in pii.viterbi(spans, w)) == best(0, []) == 3.5
-    z, p = pii.marginals(spans[:2], {"a:x": 0.0, "b:x": 0.0})
+    z, p, _ = pii.marginals(spans[:2], {"a:x": 0.0, "b:x": 0.0})
     assert abs(z - 1.0986) < 1e-3 and all(abs(x - 1 / 3) < 1e-9 for x in p)
 
 
+def test_neighbours_score_as_a_pair():
+    """Sums and the best segmentation against all segmentations, with scores between types."""
+    import math
+    import random
+    from itertools import combinations
+
+    r = random.Random(4)
+    for _ in range(60):
+        spans = []
+        for _ in range(5):
+            a = r.randrange(24)
+            spans.append((a, a + r.randint(1, 6), r.choice("ab"), [r.choice("ab") + ":x"]))
+        spans = [(a, b, k, [f"{k}:x"]) for a, b, k, _ in dict.fromkeys((a, b, k, 0) for a, b, k, _ in spans)]
+        w = {"a:x": r.uniform(-1, 2), "b:x": r.uniform(-1, 2)} | {pii.link(x, y): r.uniform(-2, 2) for x in "ab" for y in "ab"}
+        ways = []
+        for n in range(len(spans) + 1):
+            for some in combinations(range(len(spans)), n):
+                s = sorted((spans[i] for i in some), key=lambda x: (x[1], x[0]))
+                if all(x[1] <= y[0] for x, y in zip(s, s[1:])):
+                    ways.append((sum(w[x[3][0]] for x in s) + sum(w[pii.link(x[2], y[2])] for x, y in zip(s, s[1:]) if y[0] - x[1] <= pii.CLOSE), some))
+        z, p, _ = pii.marginals(spans, w)
+        assert abs(z - math.log(sum(math.exp(v) for v, _ in ways))) < 1e-9
+        for i in range(len(spans)):
+            assert abs(p[i] - sum(math.exp(v - z) for v, some in ways if i in some)) < 1e-9
+        best = pii.viterbi(spans, w)
+        got = sum(w[f"{k}:x"] for _, _, k in best) + sum(w[pii.link(x[2], y[2])] for x, y in zip(best, best[1:]) if y[0] - x[1] <= pii.CLOSE)
+        assert abs(got - max(v for v, _ in ways)) < 1e-9
+
+
 def test_held_out_accuracy_and_training_again():
     from spanforge.llm.pii_weights import WEIGHTS
 
-    for k, (precision, recall) in pii_train.evaluate(WEIGHTS, 600, seed=123).items():
-        assert precision > 0.95 and recall > 0.95, k
-    again, _ = pii_train.train(1500, 3)
-    assert all(r > 0.9 for _, r in pii_train.evaluate(again, 300, seed=5).values())
+    for k, (precision, recall) in pii_train.evaluate(WEIGHTS, pii_train.Maker(123, 1), 800).items():
+        assert precision > 0.85 and recall > 0.85, k
+    again, _ = pii_train.train(2500, 4)
+    assert all(r > 0.8 for _, r in pii_train.evaluate(again, pii_train.Maker(5, 1), 400).values())
 
 
 def test_tables(spark):

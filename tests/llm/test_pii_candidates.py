@@ -12,6 +12,8 @@ NAMES = ("José García", "Jürgen Müller signed", "Zoë Branvik", "René Halvi
 PIECES = (
     "José García", "Łukasz Świst", "K. Ostdahl", "K.Ostdahl", "Roe, Jane", "Ünal,Ö.", "O’Neil Roe", "Anna-Maria Roe", "JANE ROE", "12bis rue de Larkmoor", "5 ALLÉE DE X", "7b, Main street", "TRAVESÍA Mayor 5", "calle Mayor, 3",
     "praça Xa 1", "Millracestraße 11", "Xstr. 5", "415) 555 0178", "(1)) (2)-(3) 4567", "078-05-1120", "1/2/3/4/5/6/7", "ABCPE1234F", "abcpe 1234 f", "a@b.c", "a [at] b.c", "a\n(at)\tb.c", "٣٤٥٦٧٨٩", "12ſ Main street",
+    "Ludwig van Beethoven", "MARIA DE LA CRUZ", "Maria de la Cruz", "Иван Петров", "Γιώργος Παππάς", "J. R. Roe", "J.R.Roe", "Roe, J.", "山田太郎", "김민준", "محمد علي", "Unter den Linden 7", "am Markt 5", "Im Alten Hof 3", "Berliner Allee 12", "Lange gracht 3",
+    "350 5th Ave", "9 THE Mall", "100 Broadway", "7/9 Elm Close", "ul. Długa 5/7", "УЛИЦА Пушкина, 5", "улица Пушкина, дом 5", "Via Roma 8", "STORGATAN 3", "Vägen 4 ", "Storvägen 4", "8, quai Branly", "Anna\xa0Roe", "O'Neil Roe",
 )
 GLUE = ("", "x", " ", "_", "=", "&a=", "\n", "/", '"', "-", "7", "é", ",", "; ", "%", "\\", "&", "\xa0", "+")
 
