@@ -24,23 +24,70 @@ def p10_pieces(spark, d):
     return splitting.split(docs, "text", "n_tokens").select("doc_id", "piece.*")
 
 
-@query("p9_found")
-def p9_found(spark, d):
+#: Words as TESTDATA.md has them; DuckDB has no NFKC, so the wide and joined forms that occur are spelt out.
+_WIDE = "".join(chr(0xFF01 + k) for k in range(94))
+_NARROW = "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
+
+
+def _words_sql(text: str) -> str:
+    plain = f"regexp_replace({text}, '[\u00ad\u180e\u200b\u200c\u200d\u2060\ufeff]', '', 'g')"
+    for a, b in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st"), ("\u2026", "...")):
+        plain = f"replace({plain}, '{a}', '{b}')"
+    return f"regexp_extract_all(lower(nfc_normalize(translate({plain}, '{_WIDE}', '{_NARROW}'))), '[\\p{{L}}\\p{{N}}]+')"
+
+
+LEAKED_SQL = f"""
+WITH d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents), e AS (SELECT item_id, {_words_sql("item_text")} AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, hash(w[i], w[i+1], w[i+2], w[i+3], w[i+4], w[i+5], w[i+6], w[i+7], w[i+8], w[i+9], w[i+10], w[i+11]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+eg AS (SELECT DISTINCT item_id, hash(w[i], w[i+1], w[i+2], w[i+3], w[i+4], w[i+5], w[i+6], w[i+7], w[i+8], w[i+9], w[i+10], w[i+11]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e)),
+p AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))
+"""
+
+
+def _matcher(spark, d):
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "item_text")
-    return leakage.leaked(docs, "doc_id", "text", items, "item_id", "item_text").select("doc_id", "item_id")
+    return leakage.Matcher(docs, "doc_id", "text", items, "item_id", "item_text")
+
+
+@query("p9_found", LEAKED_SQL + "SELECT doc_id, item_id FROM p")
+def p9_found(spark, d):
+    return _matcher(spark, d).leaked().select("doc_id", "item_id")
 
 
-@query("p9_items")
+@query("p9_items", LEAKED_SQL + "SELECT item_id, CAST(count(*) AS BIGINT) AS n_docs FROM p GROUP BY item_id")
 def p9_items(spark, d):
     """Each leaked item with the number of documents it leaks into."""
-    return p9_found(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
+    return p9_found(spark, d).groupBy("item_id").agg(F.count("doc_id").alias("n_docs"))
+
+
+@query("p9_classes")
+def p9_classes(spark, d):
+    """Documents with the window classes they leak: (doc_id, class_id, n_windows)."""
+    return _matcher(spark, d).leaked_classes()
+
+
+@query("p9_members")
+def p9_members(spark, d):
+    """The items of each window class: (class_id, item_id)."""
+    return _matcher(spark, d).window_members()
 
 
 @query("p9_variants")
 def p9_variants(spark, d):
-    """Documents with re-parameterised item windows, by class of items."""
-    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "item_text")
-    return leakage.variants(docs, "doc_id", "text", items, "item_id", "item_text")
+    """Documents with re-parameterised items: (doc_id, item_id, n_windows)."""
+    return _matcher(spark, d).variants()
+
+
+@query("p9_variant_classes")
+def p9_variant_classes(spark, d):
+    """Documents with the item classes they re-parameterise or copy: (doc_id, class_id, n_windows)."""
+    return _matcher(spark, d).variant_classes()
+
+
+@query("p9_variant_members")
+def p9_variant_members(spark, d):
+    """The items of each item class: (item_id, class_id)."""
+    return _matcher(spark, d).item_classes()
 
 
 def _packed(spark, d):

@@ -33,25 +33,63 @@ def brute(docs, items):
     return {(d, i) for d, t, *_ in docs if t for w in [words(t)] for k in range(len(w) - 11) for i in index.get(tuple(w[k : k + 12]), ())}
 
 
-def test_both_ways_equal_brute_force(spark):
+def matcher(d, i, *more):
+    return leakage.Matcher(d, "doc_id", "text", i, "item_id", "item_text", *more)
+
+
+def test_all_ways_equal_brute_force(spark):
     docs, items = fixture()
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     want = brute(docs, items)
     assert len(want) > 20
-    for size in (leakage.BROADCAST_BYTES, 0):
-        rows = [(r.doc_id, r.item_id) for r in leakage.leaked(d, "doc_id", "text", i, "item_id", "item_text", size).collect()]
+    for ways in ((leakage.BROADCAST_BYTES, leakage.MOST_NAMES), (0, leakage.MOST_NAMES), (leakage.BROADCAST_BYTES, 0)):
+        m = matcher(d, i, *ways)
+        rows = [(r.doc_id, r.item_id) for r in m.leaked().collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
+        classes, members = m.leaked_classes().collect(), m.window_members().collect()
+        assert {(c.doc_id, x.item_id) for c in classes for x in members if c.class_id == x.class_id} == want
 
 
-def test_reparameterised_items_are_variants_of_their_class(spark):
+def test_names_joined_or_sent_are_the_same(spark):
     docs, items = fixture()
-    other = items[3][1].replace("calls", "calls").split()
-    other = " ".join("4242" if w.rstrip(":").isdigit() else w for w in other)
-    d = spark.createDataFrame([(1, other, 1, ""), (2, items[3][1], 1, "")], DOCS)
     i = spark.createDataFrame(items, ITEMS)
-    assert leakage.leaked(d, "doc_id", "text", i, "item_id", "item_text").where("doc_id = 1").count() == 0
-    got = leakage.variants(d, "doc_id", "text", i, "item_id", "item_text").collect()
-    assert {r.doc_id for r in got} <= {1, 2} and all(r.doc_id != 2 for r in got)
+    names = leakage.slot_names(i, "item_text")
+    assert names.count() > 3
+    both = [sorted(map(tuple, leakage.windows(i, "item_id", "item_text", names, values=True, most_names=most).collect())) for most in (leakage.MOST_NAMES, 0)]
+    assert both[0] == both[1] and len(both[0]) > 400
+
+
+def test_recall_and_precision_of_planted_variants(spark):
+    r = random.Random(5)
+    kinds = (
+        "A queue of {0} slots drains at {1} per second and is polled by {2} workers so that each of the {2} workers sees at most {0} entries in a full turn of the wheel",
+        "Node {0} forwards {1} packets to node {2} while node {2} drops {1} of them and returns an error to node {0} before the next round of the test begins",
+        "If a buffer holds {0} bytes and a reader takes {1} bytes every {2} ticks how long until the buffer with {0} bytes is empty and the reader may stop",
+    )
+    items = [(k, kinds[k % 3].format(*r.sample(range(100, 9000), 3)), "") for k in range(30)]
+    docs, want = [], set()
+    filler = "nothing was out of the ordinary in the night report of the second shift".split()
+    for k in range(60):
+        text = kinds[k % 3]
+        body = " ".join(r.choice(filler) for _ in range(30))
+        if k < 30:  # other values, consistently: a variant of all items of its kind
+            docs.append((k, f"{body} {text.format(*r.sample(range(10_000, 90_000), 3))} {body}", 1, ""))
+            want |= {(k, i) for i, *_ in items if i % 3 == k % 3}
+        elif k < 45:  # the second mention of a value differs: not the same question
+            broken = text.replace("{2}", "{2}", 1)
+            parts = broken.rsplit("{2}" if k % 3 != 2 else "{0}", 1)
+            a, b, c, x = r.sample(range(10_000, 90_000), 4)
+            docs.append((k, f"{body} {str(x).join(parts).format(a, b, c)} {body}", 1, ""))
+        else:  # word for word: a leak of that item and a variant of the others of its kind
+            docs.append((k, f"{body} {items[k - 45][1]} {body}", 1, ""))
+            want |= {(k, i) for i, *_ in items if i % 3 == (k - 45) % 3 and i != k - 45}
+    m = matcher(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    got = {(x.doc_id, x.item_id) for x in m.variants().collect()}
+    assert got == want, (len(got - want), len(want - got))
+    assert {x.doc_id for x in m.leaked().collect()} == set(range(45, 60))
+    classes, members = m.variant_classes().collect(), m.item_classes().collect()
+    assert len({x.class_id for x in members}) == 3 and len(members) == 30
+    assert {(c.doc_id, x.item_id) for c in classes for x in members if c.class_id == x.class_id} >= want
 
 
 def test_words():
@@ -61,5 +99,5 @@ def test_words():
 def test_empty(spark):
     docs, items = fixture()
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
-    assert leakage.leaked(d.limit(0), "doc_id", "text", i, "item_id", "item_text").count() == 0
-    assert leakage.leaked(d, "doc_id", "text", i.limit(0), "item_id", "item_text").count() == 0
+    for m in (matcher(d.limit(0), i), matcher(d, i.limit(0))):
+        assert m.leaked().count() == 0 and m.variants().count() == 0 and m.variant_classes().count() == 0
