@@ -1,10 +1,11 @@
 """Per-key results by multi-level tree aggregation.
 
-Level 0 combines chunks of rows of a fixed size (by a hash of the row's id, so
-a chunk is the same in every attempt); each further level merges ``fan_in``
-chunks' states, until one state per key is left: log_fan_in(chunks) rounds. No
-reducer receives more than ``fan_in`` partial states of a key, however many
-rows the key has, and each round is combined before its shuffle as well.
+A chunk is an input partition of the stored rows, of the fixed size in which
+they are read, and is combined where it is read, before any shuffle; each round
+merges the states of ``fan_in`` neighbouring chunks, until one state per key is
+left: log_fan_in(chunks) rounds. No reducer receives more than ``fan_in``
+partial states of a key, however many rows the key has, and a round's output is
+combined again where it lies, before the next shuffle.
 
 The state holds counts, sum, extremes and a histogram of latency in
 logarithmic bins (relative width about 9 %), all mergeable exactly, so any
@@ -18,8 +19,6 @@ an empty table gives no keys.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,34 +29,36 @@ BINS_PER_DOUBLING = 8
 SUMS = ("n", "errors", "timed", "latency_sum")
 
 
-def chunk_count(rows: int, chunk_rows: int, fan_in: int) -> int:
-    """The power of ``fan_in`` that gives chunks of at most ``chunk_rows`` rows."""
-    return fan_in ** max(1, math.ceil(math.log(max(1, rows / chunk_rows), fan_in)))
+def rounds(chunks: int, fan_in: int) -> int:
+    """Rounds of merging until one chunk is left, at least one."""
+    n = 1
+    while chunks > fan_in:
+        chunks, n = -(-chunks // fan_in), n + 1
+    return n
 
 
-def tree_aggregate(df: DataFrame, keys: list[str], ident: str, error: Column, latency: Column, chunk_rows: int = 20_000, fan_in: int = 8) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: list[str], ident: str, error: Column, latency: Column, fan_in: int = 8) -> DataFrame:
     """keys, n, errors, timed, latency_sum/min/max, hist(bin, n) per combination of keys."""
     value = latency.cast("long")
     once = stored(
         df.where(F.col(ident).isNotNull())
         .groupBy(ident)
         .agg(F.min(F.struct(*keys, error.cast("int").alias("_error"), value.alias("_latency"))).alias("r"))
-        .select(F.col(ident).alias("_id"), "r.*"),
+        .select("r.*"),
         "tree",
     )
-    chunks = chunk_count(once.count(), chunk_rows, fan_in)
+    last = once.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]  # one number
+    chunks = 1 + (last or 0)
     lat = F.col("_latency")
     bin_ = F.when(lat < 1, 0).otherwise(F.floor(F.log2(lat) * BINS_PER_DOUBLING).cast("int") + 1)
     level = once.select(
-        *keys, F.pmod(F.xxhash64("_id"), F.lit(chunks)).alias("_chunk"), F.when(lat.isNotNull(), bin_).alias("_bin"),
+        *keys, F.spark_partition_id().alias("_chunk"), F.when(lat.isNotNull(), bin_).alias("_bin"),
         F.lit(1).cast("long").alias("n"), F.coalesce("_error", F.lit(0)).cast("long").alias("errors"), F.when(lat.isNotNull(), 1).otherwise(0).cast("long").alias("timed"),
         F.coalesce(lat, F.lit(0)).alias("latency_sum"), lat.alias("latency_min"), lat.alias("latency_max"),
     )
-    rounds = round(math.log(chunks, fan_in))
-    for k in range(rounds + 1):
+    for _ in range(rounds(chunks, fan_in)):
+        level = level.withColumn("_chunk", F.call_function("div", F.col("_chunk"), F.lit(fan_in)))
         level = level.groupBy(*keys, "_chunk", "_bin").agg(*(F.sum(c).alias(c) for c in SUMS), F.min("latency_min").alias("latency_min"), F.max("latency_max").alias("latency_max"))
-        if k < rounds:
-            level = level.withColumn("_chunk", F.call_function("div", F.col("_chunk"), F.lit(fan_in)))
     return level.groupBy(*keys).agg(
         *(F.sum(c).alias(c) for c in SUMS), F.min("latency_min").alias("latency_min"), F.max("latency_max").alias("latency_max"),
         F.sort_array(F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "timed")))).alias("hist"),  # at most some 500 bins a key

@@ -30,15 +30,22 @@ def test_against_brute_force_for_several_trees(spark):
         w[1] += int(status is not None and status >= 400)
         w[2] += ms is not None
         w[3] += ms or 0
-    for kw in ({}, {"chunk_rows": 7, "fan_in": 2}, {"chunk_rows": 50, "fan_in": 4}):
+    for kw in ({}, {"fan_in": 2}, {"fan_in": 3}):
         got = {(r.host, r.path): [r.n, r.errors, r.timed, r.latency_sum] for r in run(df, **kw).collect()}
         assert got == want
 
 
-def test_chunks_are_a_power_of_the_fan_in():
-    assert tree.chunk_count(1, 10, 8) == 8
-    assert tree.chunk_count(10_000, 10, 8) == 4096
-    assert tree.chunk_count(0, 10, 2) == 2
+def test_rounds():
+    assert [tree.rounds(c, 8) for c in (1, 8, 9, 64, 65, 512, 513)] == [1, 1, 2, 2, 3, 3, 4]
+
+
+def test_a_hot_key_leaves_each_chunk_as_a_few_states(spark):
+    """However many rows a key has, the first shuffle gets its states of one chunk."""
+    df = spark.range(40_000).select("id", F.lit("hot").alias("host"), F.lit("/").alias("path"), F.lit(200).alias("status"), (F.col("id") % 3).alias("ms"))
+    plan = run(df)._jdf.queryExecution().toString()
+    assert plan.count("spark_partition_id") or plan.count("SPARK_PARTITION_ID")
+    r = run(df).collect()
+    assert len(r) == 1 and r[0].n == 40_000 and len(r[0].hist) == 3
 
 
 def test_heavy_keys_count_rows_without_key_in_the_total(spark):
