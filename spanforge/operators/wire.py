@@ -57,15 +57,19 @@ def envelopes(rows: DataFrame, batch: str, tenant: Column, policy: Column, now_m
     return g.select(batch, F.to_json(F.struct(head.alias("MsgHeader"), F.col("_rows").alias("Batch"))).alias("envelope"))
 
 
-def pack(rows: DataFrame, by: str, order: list[str], size: str, most_events: int = 200, most_bytes: int = 4 << 20) -> DataFrame:
-    """Rows with their ``batch`` within ``by``: flushed before an overflow and when either budget is reached; larger rows than the budget are dropped (batch null)."""
+def pack(rows: DataFrame, by: list[str], order: list[str], size: str, most_events: int = 200, most_bytes: int = 4 << 20) -> DataFrame:
+    """Rows with their ``batch`` within ``by``: flushed before an overflow and when either budget is reached; larger rows than the budget are dropped (batch null).
+
+    ``by`` names the sender and the interval of the timed flush, which ends a
+    batch as well: a task walks one interval, not all rows of a sender.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch long"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, batch, n, total = object(), 0, 0, 0
         for p in parts:
             out = []
-            for k, s in zip(p[by].tolist(), p[size].tolist()):
+            for *k, s in zip(*(p[c].tolist() for c in by), p[size].tolist()):
                 if k != key:
                     key, batch, n, total = k, 0, 0, 0
                 if s > most_bytes:
@@ -80,7 +84,7 @@ def pack(rows: DataFrame, by: str, order: list[str], size: str, most_events: int
             yield p.assign(batch=pd.array(out, dtype="Int64"))
 
     # rows of a key stand together and in order; nothing but counters is held
-    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
 # Required keys and their types.
@@ -102,21 +106,32 @@ def _get(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$['{name}']", "variant")
 
 
-def rejection(body: Column) -> Column:
-    """Why an ingest body is refused, the first reason that holds; null if it is accepted."""
-    v = F.try_parse_json(body)
-    head, batch = _get(v, "MsgHeader"), _get(v, "Batch")
-    reason = F.when(v.isNull(), "invalid JSON").when(_kind(v) != "dict", "envelope must be an object").when(_get(v, "events").isNotNull() & batch.isNull(), "legacy schema").when(head.isNull(), "missing MsgHeader").when(_kind(head) != "dict", "MsgHeader must be an object")
+def rejected(rows: DataFrame, body: Column, name: str = "reason") -> DataFrame:
+    """The rows with why their ingest body is refused, the first reason that holds; null if it is accepted.
+
+    The body is parsed once and its parts and their kinds are taken once, each
+    in a projection of its own, before any of them is compared.
+    """
+    keep = [c for c in rows.columns if c != name]
+    parsed = rows.withColumn("_v", F.try_parse_json(body))
+    parts = parsed.select(*keep, "_v", _get(F.col("_v"), "MsgHeader").alias("_head"), _get(F.col("_v"), "Batch").alias("_batch"))
+    kinds = parts.select(
+        *keep, _kind(F.col("_v")).alias("_is"), _kind(F.col("_head")).alias("_head_is"), _kind(F.col("_batch")).alias("_batch_is"), _get(F.col("_v"), "events").isNotNull().alias("_legacy"),
+        F.struct(*(_kind(_get(F.col("_head"), n)).alias(n) for n in HEADER_FIELDS)).alias("_fields"),
+        F.transform(F.try_variant_get("_v", "$.Batch", "array<variant>"), lambda e: F.struct(
+            _kind(e).alias("_is"), F.try_variant_get(e, "$['L7Protocol']", "string").alias("_l7"), *(_kind(_get(e, n)).alias(n.replace(".", "_")) for n in EVENT_FIELDS))).alias("_events"),
+    )
+    v = F.col
+    reason = F.when(v("_is").isNull(), "invalid JSON").when(v("_is") != "dict", "envelope must be an object").when(v("_legacy") & v("_batch_is").isNull(), "legacy schema").when(v("_head_is").isNull(), "missing MsgHeader").when(v("_head_is") != "dict", "MsgHeader must be an object")
     for n, k in HEADER_FIELDS.items():
-        reason = reason.when(_get(head, n).isNull(), f"MsgHeader missing {n}").when(_kind(_get(head, n)) != k, f"MsgHeader.{n} must be {k}")
-    reason = reason.when(batch.isNull(), "missing Batch").when(_kind(batch) != "list", "Batch must be a list")
-    events = F.try_variant_get(v, "$.Batch", "array<variant>")
-    reason = reason.when(F.size(events) == 0, "Batch is empty")
+        reason = reason.when(v(f"_fields.{n}").isNull(), f"MsgHeader missing {n}").when(v(f"_fields.{n}") != k, f"MsgHeader.{n} must be {k}")
+    reason = reason.when(v("_batch_is").isNull(), "missing Batch").when(v("_batch_is") != "list", "Batch must be a list").when(F.size("_events") == 0, "Batch is empty")
 
     def first_error(e: Column) -> Column:
-        out = F.when(_kind(e) != "dict", "event must be an object")
+        out = F.when(e["_is"] != "dict", "event must be an object")
         for n, k in EVENT_FIELDS.items():
-            out = out.when(_get(e, n).isNull(), f"missing {n}").when(_kind(_get(e, n)) != k, f"{n} must be {k}")
-        return out.when(~F.try_variant_get(e, "$['L7Protocol']", "string").isin(*L7_NAMES), "unknown L7Protocol")
+            is_ = e[n.replace(".", "_")]
+            out = out.when(is_.isNull(), f"missing {n}").when(is_ != k, f"{n} must be {k}")
+        return out.when(~e["_l7"].isin(*L7_NAMES), "unknown L7Protocol")
 
-    return reason.otherwise(F.get(F.filter(F.transform(events, first_error), lambda x: x.isNotNull()), 0))
+    return kinds.select(*keep, reason.otherwise(F.get(F.filter(F.transform("_events", first_error), lambda x: x.isNotNull()), 0)).alias(name))

@@ -671,18 +671,19 @@ def wire_rows(spark, d):
 
 
 PACK_SQL = """
-WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE n_chars <= 20000),
-f AS (SELECT source, i, doc_id, 0 AS batch, 1 AS n, n_chars AS total, (1 >= 5 OR n_chars >= 20000) AS full_ FROM r WHERE i = 1
- UNION ALL SELECT r.source, r.i, r.doc_id, CASE WHEN f.full_ OR f.total + r.n_chars > 20000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.full_ OR f.total + r.n_chars > 20000 THEN 1 ELSE f.n + 1 END,
+WITH RECURSIVE r AS (SELECT source, doc_id // 1000 AS flush, doc_id, n_chars, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS i FROM documents WHERE n_chars <= 20000),
+f AS (SELECT source, flush, i, doc_id, 0 AS batch, 1 AS n, n_chars AS total, (1 >= 5 OR n_chars >= 20000) AS full_ FROM r WHERE i = 1
+ UNION ALL SELECT r.source, r.flush, r.i, r.doc_id, CASE WHEN f.full_ OR f.total + r.n_chars > 20000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.full_ OR f.total + r.n_chars > 20000 THEN 1 ELSE f.n + 1 END,
   CASE WHEN f.full_ OR f.total + r.n_chars > 20000 THEN r.n_chars ELSE f.total + r.n_chars END,
-  CASE WHEN f.full_ OR f.total + r.n_chars > 20000 THEN (1 >= 5 OR r.n_chars >= 20000) ELSE (f.n + 1 >= 5 OR f.total + r.n_chars >= 20000) END FROM f JOIN r ON r.source = f.source AND r.i = f.i + 1)
-SELECT doc_id, CAST(batch AS BIGINT) AS batch FROM f UNION ALL SELECT doc_id, NULL FROM documents WHERE n_chars > 20000"""
+  CASE WHEN f.full_ OR f.total + r.n_chars > 20000 THEN (1 >= 5 OR r.n_chars >= 20000) ELSE (f.n + 1 >= 5 OR f.total + r.n_chars >= 20000) END FROM f JOIN r ON r.source = f.source AND r.flush = f.flush AND r.i = f.i + 1)
+SELECT doc_id, flush, CAST(batch AS BIGINT) AS batch FROM f UNION ALL SELECT doc_id, doc_id // 1000, NULL FROM documents WHERE n_chars > 20000"""
 
 
 @query("batch_packing", PACK_SQL)
 def batch_packing(spark, d):
-    t = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    return wire.pack(t, "source", ["doc_id"], "n_chars", 5, 20_000).select("doc_id", "batch")
+    """Batches of a source within each interval of a flush, here of a thousand ids."""
+    t = table(spark, d, "documents").select("source", "doc_id", "n_chars", F.call_function("div", F.col("doc_id"), F.lit(1000)).alias("flush"))
+    return wire.pack(t, ["source", "flush"], ["doc_id"], "n_chars", 5, 20_000).select("doc_id", "flush", "batch")
 
 
 @query("envelopes", "SELECT delivery_id, '2.0' AS version, delivery_id AS sequence, CAST(count(*) AS INT) AS n FROM transactions GROUP BY delivery_id")
@@ -702,7 +703,7 @@ def schema_validation(spark, d):
     none = F.lit("[]")
     wrap = lambda h, batch: F.concat(F.lit('{"MsgHeader":'), F.to_json(h), F.lit(',"Batch":'), batch, F.lit("}"))
     body = F.when(k == 0, wrap(head(seq), none)).when(k == 1, F.lit('{"Batch":[]}')).when(k == 2, F.lit('{"events":[]}')).when(k == 3, wrap(head(F.lit("x")), none)).when(k == 4, F.lit('{"MsgHeader":')).otherwise(wrap(head(seq), F.lit("[{}]")))
-    return table(spark, d, "wire_messages").select("delivery_id", wire.rejection(body).alias("reason"))
+    return wire.rejected(table(spark, d, "wire_messages").select("delivery_id", body.alias("body")), F.col("body")).select("delivery_id", "reason")
 
 
 # ---------------------------------------------------------------- decoders and streams

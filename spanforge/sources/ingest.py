@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.operators.wire import rejection
+from spanforge.operators.wire import rejected
 
 MOST_BYTES = 128 << 20
 
@@ -43,7 +43,8 @@ def bodies(files: DataFrame, content: str = "content", most: int = MOST_BYTES) -
             if len(b):
                 yield b[[f.name for f in rest]].assign(body=[t for t, _ in both], reason=[p for _, p in both])
 
-    return files.mapInPandas(run, schema).withColumn("reason", F.coalesce("reason", rejection(F.col("body"))))
+    checked = rejected(files.mapInPandas(run, schema).withColumnRenamed("reason", "_problem"), F.col("body"))
+    return checked.withColumn("reason", F.coalesce("_problem", "reason")).drop("_problem")
 
 
 def events(accepted: DataFrame) -> DataFrame:

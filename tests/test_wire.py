@@ -10,7 +10,7 @@ from spanforge.streaming import sinks
 def test_packing_equals_a_fold(spark):
     r = random.Random(4)
     rows = [(r.choice("ab"), k, r.choice([1, 10, 50, 99, 100, 101])) for k in range(300)]
-    got = {x.k: x.batch for x in wire.pack(spark.createDataFrame(rows, "g string, k int, size int"), "g", ["k"], "size", 5, 100).collect()}
+    got = {x.k: x.batch for x in wire.pack(spark.createDataFrame(rows, "g string, k int, size int"), ["g"], ["k"], "size", 5, 100).collect()}
     want = {}
     for g in "ab":
         batch = n = total = 0
@@ -25,7 +25,7 @@ def test_packing_equals_a_fold(spark):
             if n >= 5 or total >= 100:
                 batch, n, total = batch + 1, 0, 0
     assert got == want
-    assert wire.pack(spark.createDataFrame([], "g string, k int, size int"), "g", ["k"], "size").count() == 0
+    assert wire.pack(spark.createDataFrame([], "g string, k int, size int"), ["g"], ["k"], "size").count() == 0
 
 
 def good():
@@ -37,14 +37,14 @@ def test_validation(spark):
     def why(change):
         o = good()
         change(o)
-        return spark.createDataFrame([(json.dumps(o),)], "b string").select(wire.rejection(F.col("b")).alias("r")).first().r
+        return spark.createDataFrame([(json.dumps(o),)], "b string").transform(lambda d: wire.rejected(d, F.col("b"), "r")).first().r
 
     assert why(lambda o: None) is None
     assert why(lambda o: o.pop("MsgHeader")) == "missing MsgHeader" and why(lambda o: o.update(Batch=[])) == "Batch is empty" and why(lambda o: o.update(Batch={})) == "Batch must be a list"
     assert why(lambda o: o["MsgHeader"].update(Sequence=True)) == "MsgHeader.Sequence must be int" and why(lambda o: o["MsgHeader"].pop("TenantId")) == "MsgHeader missing TenantId"
     assert why(lambda o: o["Batch"][0].pop("Id")) == "missing Id" and why(lambda o: o["Batch"][0].update(APIID=True)) == "APIID must be int" and why(lambda o: o["Batch"][0].update(L7Protocol="SMTP")) == "unknown L7Protocol"
     assert why(lambda o: o["Batch"].append(3)) == "event must be an object"
-    got = [r.r for r in spark.createDataFrame([("{",), ("[]",), ('{"events":[]}',), ("",), (None,)], "b string").select(wire.rejection(F.col("b")).alias("r")).collect()]
+    got = [r.r for r in spark.createDataFrame([("{",), ("[]",), ('{"events":[]}',), ("",), (None,)], "b string").transform(lambda d: wire.rejected(d, F.col("b"), "r")).collect()]
     assert got == ["invalid JSON", "envelope must be an object", "legacy schema", "invalid JSON", "invalid JSON"]
 
 
@@ -53,7 +53,7 @@ def test_envelopes_pass_validation(spark):
         "txn_id long, batch long, x int, req_method string, req_path string, req_host string, req_scheme string, req_headers map<string,string>, req_query map<string,string>, req_body string, resp_status int, resp_latency_ms long, outcome string, user_id string, user_role string, session_id string, auth_session_id string, protocol string, source_ip string, dest_ip string, source_port int, dest_port int, direction string, ts_ns long")
     w = wire.wire_rows(t).withColumn("batch", F.lit(0))
     e = wire.envelopes(w.drop("txn_id"), "batch", F.lit("t"), F.lit("p"), F.lit(1_740_961_572_979))
-    r = e.select("envelope", wire.rejection(F.col("envelope")).alias("r")).first()
+    r = wire.rejected(e.select("envelope"), F.col("envelope"), "r").first()
     assert r.r is None
     o = json.loads(r.envelope)
     assert o["Batch"][0]["HTTPReq.Uri"] == "/a" and o["Batch"][0]["HTTPReq.Query"] == "b=1" and o["Batch"][0]["Req.Header.extra"] == '{"x":"1"}' and o["Batch"][0]["user_role"] == "unknown"
@@ -83,5 +83,18 @@ def test_scope_fails_closed_and_second_entries_do_not_multiply(spark):
 def test_orders_and_counters(spark):
     df = spark.createDataFrame([("a", k, v) for k, v in enumerate([1, 1, 0, 1, 0, 0, 1])], "g string, k int, f int")
     assert sorted((r.length, r.first, r.last) for r in order.streaks(df, ["g"], ["k"], F.col("f") == 1).collect()) == [(1, 4, 4), (1, 7, 7), (2, 1, 2)]
+    many = [(r.choice("ab"), k, int(r.random() < 0.8)) for r in [random.Random(6)] for k in range(3000)]
+    want = []
+    for g in "ab":
+        length = 0
+        place = [f for x, _, f in many if x == g]
+        for n, f in enumerate([*place, 0], 1):
+            if f:
+                length += 1
+            elif length:
+                want.append((g, length, n - length, n - 1))
+                length = 0
+    got = order.streaks(spark.createDataFrame(many, "g string, k int, f int").repartition(3), ["g"], ["k"], F.col("f") == 1)
+    assert sorted((r.g, r.length, r.first, r.last) for r in got.collect()) == sorted(want)
     assert {(r.k, r.missing) for r in order.gaps(spark.createDataFrame([(1, 0), (1, 1), (1, 5)], "g int, k int"), ["g"], "k").collect()} == {(5, 3)}
     assert [r.line for r in metrics.exposition(metrics.counters(df, {"f": F.col("f") == 1})).collect()] == ["engine_f 4"]
