@@ -137,3 +137,22 @@ def test_labels(spark):
     rows = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.lit("/v1/x").alias("p"))
     share = rows.where(labels.sampled([F.col("k")], F.col("p"), 30)).count() / 5000
     assert abs(share - 0.3) < 0.03 and rows.where(labels.sampled([F.col("k")], F.lit("/login"), 0)).count() == 5000
+
+
+@pytest.mark.parametrize("text,want", [
+    ('{"a":"b","password" : "x\\"y" , "n":1}', [("b", "a", "string"), ('x\\"y', "password", "string"), ("1", "n", "scalar")]),
+    ('"pin":1234}', [("1234", "pin", "scalar")]), ('{"token":"cut', [("cut", "token", "string")]), ('\\"k\\":1', []), ('"":1 :2', []),
+    ("?a=1&b%5B%5D=2;c= &d", [("1", "a", "form"), ("2", "b[]", "form")]), ("xy=1", [("1", "xy", "form")]), ('"x=1"', []), ("a b=c", [("c", "b", "form")]),
+    ("<a>1</a><b> 2 </b><c>3</d><e></e>", [("1", "a", "element"), ("2", "b", "element"), ("", "e", "element")]), ("s://u:p@h/?k=v", [("p", "password", "password"), ("v", "k", "form")]), ("http://h:80/a@b", []),
+])
+def test_values_under_names(text, want):
+    assert [(text[a:b].strip('"') if kind in ("string", "scalar") and not text[a:b].endswith('\\"') else text[a:b], name, kind) for a, b, name, kind in redact.named_values(text)] == want
+
+
+def test_long_texts_are_walked_in_time():
+    import time
+
+    began = time.time()
+    for text in ('"' * 100_000 + ":", '\\"' * 50_000 + ":1", "=" * 100_000, "a>" * 50_000, '"k":' * 20_000, "//a:" * 20_000):
+        R.named(text)
+    assert time.time() - began < 20
