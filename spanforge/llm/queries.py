@@ -90,6 +90,20 @@ def p9_variant_members(spark, d):
     return _matcher(spark, d).item_classes()
 
 
+@query("p10_whole", "SELECT doc_id, n_tokens, true AS fits, true AS overlaps, true AS whole FROM documents WHERE n_tokens > 512")
+def p10_whole(spark, d):
+    """What must hold of the pieces of each text: at most 512 tokens, 32 shared with the piece before, and without those the text itself."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "n_tokens").where("n_tokens > 512")
+    p = splitting.split(docs, "text", "n_tokens")
+    own = F.regexp_extract_all(F.col("piece.text"), F.lit(splitting.UNIT), 0)
+    fresh = F.array_join(F.slice(own, F.when(F.col("piece.no") > 0, 33).otherwise(1), F.size(own) + 1), "")
+    parts = p.groupBy("doc_id").agg(
+        F.max("text").alias("text"), F.max("n_tokens").alias("n"), F.max("piece.end").alias("end"), F.max("piece.n_tokens").alias("most"), F.sort_array(F.collect_list(F.struct(F.col("piece.no").alias("no"), F.col("piece.start").alias("start"), F.col("piece.end").alias("end"), fresh.alias("fresh")))).alias("p")
+    )  # the pieces of one text
+    overlaps = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.get("p", k)["start"] == F.get("p", k - 1)["end"] - 32)
+    return parts.select("doc_id", F.col("end").cast("long").alias("n_tokens"), (F.col("most") <= 512).alias("fits"), overlaps.alias("overlaps"), (F.array_join(F.transform("p", lambda x: x["fresh"]), "") == F.col("text")).alias("whole"))
+
+
 def _packed(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "n_tokens")
     return packing.pack(docs, "doc_id", "text", "n_tokens")
@@ -106,6 +120,22 @@ def p8_containers(spark, d):
     return _packed(spark, d).withColumnRenamed("id", "doc_id")
 
 
+@query("p8_whole", "SELECT doc_id, n_tokens, true AS fits FROM documents WHERE text IS NOT NULL")
+def p8_whole(spark, d):
+    """What must hold of the containers: every text in them once and whole, no container over its capacity."""
+    p = _packed(spark, d)
+    full = p.groupBy("container").agg(F.sum("n_tokens").alias("held"))
+    return p.join(full, "container").groupBy(F.col("id").alias("doc_id")).agg(F.sum("n_tokens").alias("n_tokens"), (F.max("held") <= packing.CAPACITY).alias("fits"))
+
+
+@query("p8_room", "SELECT CAST(sum(n_tokens) AS BIGINT) AS tokens, true AS full FROM documents WHERE text IS NOT NULL")
+def p8_room(spark, d):
+    """All tokens, and whether at most a hundredth of the room stays empty, but for one container a task."""
+    c = _packed(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    tasks = F.count_distinct(F.shiftright("container", 40))
+    return c.agg(F.sum("n").alias("tokens"), (F.sum("n") >= 0.99 * packing.CAPACITY * (F.count(F.lit(1)) - tasks)).alias("full"))
+
+
 @query("p8_fill")
 def p8_fill(spark, d):
     """How full the containers are: number, tokens, share of room used, fewest and most tokens."""
@@ -128,6 +158,29 @@ def p2_rates(spark, d):
     return truncation.rates(_judged(spark, d))
 
 
+CUT_SQL = """
+WITH b AS (SELECT *, lower(trim(split_part(coalesce(req_headers['content-type'], ''), ';', 1))) AS kind FROM transactions WHERE req_body IS NOT NULL AND txn_id IS NOT NULL),
+c AS (SELECT DISTINCT txn_id, CASE direction WHEN 0 THEN 'incoming' WHEN 1 THEN 'outgoing' END AS direction FROM chunks WHERE flags & 1 <> 0 OR (copied_len > 0 AND actual_len > copied_len)),
+r AS (SELECT b.txn_id, TRY_CAST(nullif(regexp_extract(req_headers['content-length'], '^\\s*(\\d{1,18})\\s*$', 1), '') AS BIGINT) > strlen(req_body) AS by_header, c.txn_id IS NOT NULL AS by_chunk, kind LIKE '%json' AND NOT json_valid(req_body) AS by_json
+      FROM b LEFT JOIN c ON b.txn_id = c.txn_id AND b.direction = c.direction)
+SELECT txn_id, coalesce(bool_or(by_header), false) AS by_header, coalesce(bool_or(by_chunk), false) AS by_chunk, coalesce(bool_or(by_json), false) AS by_json FROM r GROUP BY txn_id
+"""
+
+
+@query("p2_evidence", CUT_SQL)
+def p2_evidence(spark, d):
+    """The exact evidence of every record with a body: header, chunk, and syntax of JSON."""
+    t = table(spark, d, "transactions")
+    json = t.where("req_body is not null").groupBy("txn_id").agg(F.max(truncation.media(F.col("req_headers")).endswith("json")).alias("json"))
+    return _judged(spark, d).join(json, "txn_id").select("txn_id", "by_header", "by_chunk", (F.col("by_syntax") & F.col("json")).alias("by_json"))
+
+
+@query("p2_trigram")
+def p2_trigram(spark, d):
+    """What the trigram alone finds among records known to be cut or whole, by kind of content."""
+    return truncation.trigram_recall(table(spark, d, "transactions"), table(spark, d, "chunks"))
+
+
 @query("p6_found")
 def p6_found(spark, d):
     return pii.found(table(spark, d, "transactions"))

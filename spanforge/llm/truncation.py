@@ -4,13 +4,17 @@ The text itself shows a cut by its last trigram. Word trigrams (digits made
 alike, punctuation a word of its own) are counted inside texts, where something
 follows, and at ends. The last trigram of each text is joined to these counts,
 its last word also as the beginning of a longer one, and a text is flagged if
-its ending is frequent inside but almost never at an end. All of it is SQL.
+its ending is frequent inside but almost never at an end: if the upper bound of
+the share of ends among its occurrences (Wilson's, two standard errors) is at
+most ``MOST_TERMINAL``. The bound asks for more occurrences where there are few
+and tends to the share itself where there are many, so the rule is the same at
+every size of the corpus. All of it is SQL.
 
 Other evidence about the same record is exact and joined by its id: a captured
 chunk of the request that is flagged as truncated or was copied shorter than it
 was; a content-length beyond the bytes that are there; a JSON or XML document
-that is not closed. A content-length that is met shows that the text is whole
-and overrules the trigram.
+that is not closed. A content-length that is met, or a JSON or XML document
+that is closed, shows that the text is whole and overrules the trigram.
 
 Defined results: null texts are no cases; an empty text is whole unless a chunk
 or a content-length says otherwise; unknown lengths (0 or null) are no evidence;
@@ -25,10 +29,8 @@ from pyspark.sql import functions as F
 
 from spanforge.session import stored
 
-#: A last trigram is flagged if it occurs at least so often inside ...
-LEAST_INSIDE = 20
-#: ... and ends at most this share of its occurrences.
-MOST_TERMINAL = 0.02
+#: A last trigram is flagged if it ends a text at most in this share of its occurrences, at a confidence of so many standard errors.
+MOST_TERMINAL, ERRORS = 0.05, 2.0
 WORD = r"[\p{L}\p{M}]+|\p{N}+(?:[-./: ]\p{N}+)*|[^\p{L}\p{M}\p{N}\s]"
 START = "^"
 #: Flagged endings are broadcast up to this number, about 10 MB; above it the join is shuffled.
@@ -56,16 +58,29 @@ def trigram_counts(texts: DataFrame) -> DataFrame:
 
 
 def endings(counts: DataFrame) -> DataFrame:
-    """(a, b, c, inside, terminal) of every last trigram, its last word also as the beginning of longer words."""
-    begun = counts.where("inside > 0").select("a", "b", F.explode(F.transform(F.sequence(F.lit(1), F.length("c")), lambda k: F.substring(F.col("c"), F.lit(1), k))).alias("c"), "inside", F.lit(0).cast("long").alias("terminal"))
+    """(a, b, c, inside, terminal) of every last trigram, its last word also as the beginning of longer words.
+
+    A word inside is cut to the lengths that words at ends have behind the same
+    two words, and to no others.
+    """
     ends = counts.where("terminal > 0").select("a", "b", "c", F.lit(0).cast("long").alias("inside"), "terminal")
+    lengths = ends.groupBy("a", "b").agg(F.collect_set(F.length("c")).alias("lengths"))  # at most as many as the longest word has letters
+    begun = counts.where("inside > 0").select("a", "b", "c", "inside").join(lengths, ["a", "b"])
+    begun = begun.select("a", "b", "c", "inside", F.explode(F.filter("lengths", lambda k: k <= F.length("c"))).alias("k"))
+    begun = begun.select("a", "b", F.substring(F.col("c"), F.lit(1), F.col("k")).alias("c"), "inside", F.lit(0).cast("long").alias("terminal"))
     return begun.unionByName(ends).groupBy("a", "b", "c").agg(F.sum("inside").alias("inside"), F.sum("terminal").alias("terminal")).where("terminal > 0")
 
 
+def upper_share(hits: Column, n: Column, errors: float = ERRORS) -> Column:
+    """Wilson's upper bound of a share."""
+    p, z2 = hits / n, errors * errors
+    return (p + z2 / (2 * n) + errors * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
 def cut_endings(counts: DataFrame) -> DataFrame:
     e = endings(counts)
     e = e.where(~F.col("c").isin(*STOPS))  # a text that ends a sentence does not look cut
-    return e.where((F.col("inside") >= LEAST_INSIDE) & (F.col("terminal") <= MOST_TERMINAL * (F.col("inside") + F.col("terminal")))).select("a", "b", "c")
+    return e.where(upper_share(F.col("terminal"), F.col("inside") + F.col("terminal")) <= MOST_TERMINAL).select("a", "b", "c")
 
 
 def media(headers: Column) -> Column:
@@ -104,9 +119,9 @@ def judged(transactions: DataFrame, chunks: DataFrame, overrule: bool = True) ->
     flagged = stored(cut_endings(counts).withColumn("by_text", F.lit(True)), "endings")
     if flagged.limit(BROADCAST_ENDINGS + 1).count() <= BROADCAST_ENDINGS:
         flagged = F.broadcast(flagged)  # so that a hot ending gathers no rows; beyond, the planner splits skewed keys
-    # JSON and XML end by their syntax, which decides; the trigram speaks for all other texts
-    free = ~(F.col("kind").endswith("json") | F.col("kind").endswith("xml"))
-    per = last.join(flagged, ["a", "b", "c"], "left").select("txn_id", "capture_source", "direction", F.coalesce(F.col("by_text") & free & ~(F.lit(overrule) & F.coalesce("whole", F.lit(False))), F.lit(False)).alias("by_text"), F.coalesce("by_header", F.lit(False)).alias("by_header"), "by_syntax", F.lit(False).alias("by_chunk"))
+    closed = (F.col("kind").endswith("json") | F.col("kind").endswith("xml")) & ~F.col("by_syntax")
+    known = F.lit(overrule) & (F.coalesce("whole", F.lit(False)) | closed)
+    per = last.join(flagged, ["a", "b", "c"], "left").select("txn_id", "capture_source", "direction", F.coalesce(F.col("by_text") & ~known, F.lit(False)).alias("by_text"), F.coalesce("by_header", F.lit(False)).alias("by_header"), "by_syntax", F.lit(False).alias("by_chunk"))
     seen = cut_chunks(chunks).select(F.col("id").alias("txn_id"), F.lit(None).cast("string").alias("capture_source"), F.col("side").alias("direction"), *(F.lit(False).alias(c) for c in ("by_text", "by_header", "by_syntax")), F.lit(True).alias("by_chunk"))
     how = ["by_text", "by_header", "by_syntax", "by_chunk"]
     both = per.withColumn("body", F.lit(True)).unionByName(seen.withColumn("body", F.lit(False)))
@@ -114,6 +129,23 @@ def judged(transactions: DataFrame, chunks: DataFrame, overrule: bool = True) ->
     return one.groupBy("txn_id").agg(F.max("capture_source").alias("capture_source"), *(F.max(c).alias(c) for c in how)).withColumn("cut", F.greatest(*how))
 
 
+def trigram_recall(transactions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(kind, n_cut, n_cut_flagged, n_whole, n_whole_flagged): the trigram alone, without overruling, on records of which other evidence tells what they are.
+
+    Known to be cut are those with a chunk, header or syntax that says so; known to be whole those with a
+    content-length that is met and no such evidence.
+    """
+    alone = judged(transactions, chunks, overrule=False)
+    length = F.regexp_extract(F.col("req_headers")["content-length"], r"^\s*(\d{1,18})\s*$", 1)
+    kind = F.regexp_extract(media(F.col("req_headers")), r"([a-z-]*)$", 1)
+    met = (length != "") & (length.cast("long") == F.octet_length("req_body"))
+    known = transactions.where("txn_id is not null and req_body is not null").groupBy("txn_id").agg(F.max(kind).alias("kind"), F.min(F.coalesce(met, F.lit(False))).alias("met"))
+    cut = F.col("by_header") | F.col("by_syntax") | F.col("by_chunk")
+    return alone.join(known, "txn_id").groupBy("kind").agg(
+        F.count_if(cut).alias("n_cut"), F.count_if(cut & F.col("by_text")).alias("n_cut_flagged"), F.count_if(~cut & F.col("met")).alias("n_whole"), F.count_if(~cut & F.col("met") & F.col("by_text")).alias("n_whole_flagged")
+    )
+
+
 def rates(found: DataFrame) -> DataFrame:
     """(capture_source, bodies, cut, rate)."""
     return found.groupBy("capture_source").agg(F.count(F.lit(1)).alias("bodies"), F.count_if("cut").alias("n_cut")).withColumn("rate", F.col("n_cut") / F.col("bodies"))

@@ -64,3 +64,17 @@ def test_very_long_and_form_texts(spark):
     rows = corpus() + [row(10_000, "word " * 50_000), row(10_001, "memo=Parcel+1+left+the+hub.&q=%C3", form), row(10_002, "%", form), row(10_003, "memo=Slot+9+is+blocked+for+clea", form)]
     got = judge(spark, rows)
     assert {10_000, 10_001, 10_002, 10_003} <= set(got) and got[10_003].by_text
+
+
+def test_words_are_cut_to_the_lengths_of_ends_only(spark):
+    """A run of letters costs its own length, not its square."""
+    run = "x" * 50_000
+    counts = spark.createDataFrame([("a", "b", run, 9, 0), ("a", "b", "xxx", 0, 1), ("a", "b", "xy", 0, 2), ("c", "d", run, 5, 0)], "a string, b string, c string, inside long, terminal long")
+    got = {(r.a, r.b, r.c): (r.inside, r.terminal) for r in T.endings(counts).collect()}
+    assert got == {("a", "b", "xxx"): (9, 1), ("a", "b", "xy"): (0, 2)}
+
+
+def test_the_bound_tends_to_the_share(spark):
+    df = spark.createDataFrame([(1, 50), (1, 150), (20, 1000), (20_000, 1_000_000), (80_000, 1_000_000)], "hits long, n long")
+    got = [r[0] for r in df.select(T.upper_share(F.col("hits"), F.col("n"))).collect()]
+    assert got[0] > 0.05 > got[1] > 0.02 and got[2] < 0.04 and abs(got[3] - 0.02) < 0.001 and got[4] > 0.05
