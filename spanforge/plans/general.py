@@ -117,6 +117,10 @@ UNION ALL SELECT 'account_source_day', account_id, capture_source, day, dimensio
 @query("p4_within_bounds", EXACT_SQL)
 def p4_within_bounds(spark, d):
     """Exact counts beside the estimates: whether each lies within five standard errors."""
+    return p4_checked(spark, d, 5.0, 1.0)
+
+
+def p4_checked(spark: SparkSession, d: str, errors: float, round_off: float) -> DataFrame:
     est = p4_distinct(spark, d)
     t = table(spark, d, "transactions")
     ids = identifiers()
@@ -127,11 +131,18 @@ def p4_within_bounds(spark, d):
         n = base.groupBy(*by, "dimension").agg(F.count_distinct("v").alias("exact"))
         e = est.where(F.col("grain") == name).select(*by, "dimension", "estimate", "std_error")
         on = [n[c].eqNullSafe(e[c]) for c in [*by, "dimension"]]
-        within = F.abs(e["estimate"] - n["exact"]) <= 5 * e["std_error"] + 1
+        within = F.abs(e["estimate"] - n["exact"]) <= errors * e["std_error"] + round_off
         parts.append(n.join(e, on, "left").select(F.lit(name).alias("grain"), *(n[c] if c in by else F.lit(None).cast(k).alias(c) for c, k in (("account_id", "long"), ("capture_source", "string"), ("day", "date"))), n["dimension"], n["exact"], F.coalesce(within, F.lit(False)).alias("within")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("p4_share", "SELECT grain, dimension, CAST(count(*) AS BIGINT) AS n_groups, true AS within FROM (" + EXACT_SQL + ") GROUP BY grain, dimension")
+def p4_share(spark, d):
+    """The groups of each grain and dimension, and whether at least nine in ten estimates lie within the stated two standard errors of the exact count (19 in 20 are expected; half a unit for rounding)."""
+    e = p4_checked(spark, d, 2.0, 0.5)
+    return e.groupBy("grain", "dimension").agg(F.count(F.lit(1)).alias("n_groups"), (F.count_if("within") >= 0.9 * F.count(F.lit(1))).alias("within"))
+
+
 KEYS_SQL = """
 WITH t AS (SELECT DISTINCT txn_id, regexp_replace(regexp_replace(lower(req_host), ':[0-9]*$', ''), '\\.$', '') AS host, split_part(req_path, '?', 1) AS path, resp_status, resp_latency_ms FROM transactions WHERE txn_id IS NOT NULL),
 k AS (SELECT host, path, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN resp_status = 0 OR resp_status >= 400 THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(count(resp_latency_ms) AS BIGINT) AS timed, CAST(coalesce(sum(resp_latency_ms), 0) AS BIGINT) AS latency_sum, min(resp_latency_ms) AS latency_min, max(resp_latency_ms) AS latency_max FROM t GROUP BY host, path)
@@ -157,8 +168,23 @@ def p5_keys(spark, d):
 @query("p5_latency")
 def p5_latency(spark, d):
     """Median and 99th percentile of latency per key, within a bin (9 %) of the exact value."""
+    return p5_latency_states(spark, d).drop("timed")
+
+
+def p5_latency_states(spark: SparkSession, d: str) -> DataFrame:
     k = _keys(spark, d).where("host is not null and path is not null")
-    return k.select("host", "path", "n", "errors", tree.quantile(F.col("hist"), F.col("timed"), 0.5).alias("p50_ms"), tree.quantile(F.col("hist"), F.col("timed"), 0.99).alias("p99_ms"))
+    return k.select("host", "path", "n", "errors", "timed", tree.quantile(F.col("hist"), F.col("timed"), 0.5).alias("p50_ms"), tree.quantile(F.col("hist"), F.col("timed"), 0.99).alias("p99_ms"))
+
+
+@query("p5_quantiles", KEYS_SQL + "SELECT host, path, timed, true AS within FROM k WHERE host IS NOT NULL AND path IS NOT NULL AND timed > 0")
+def p5_quantiles(spark, d):
+    """Whether the median and the 99th percentile of each key lie within a bin (9 %) above the exact ones."""
+    k = p5_latency_states(spark, d)
+    t = table(spark, d, "transactions").where("txn_id is not null").select("txn_id", N.host(F.col("req_host")).alias("h"), N.path_only(F.col("req_path")).alias("p"), "resp_latency_ms").dropDuplicates(["txn_id"])
+    exact = t.where("resp_latency_ms is not null").groupBy("h", "p").agg(*(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY resp_latency_ms)").alias(n) for n, q in (("e50", 0.5), ("e99", 0.99))))
+    j = k.join(exact, (k["host"] == exact["h"]) & (k["path"] == exact["p"]))
+    within = lambda est, x: (F.col(est) >= F.col(x)) & (F.col(est) <= F.greatest(F.lit(1.0), F.col(x) * 1.0906))
+    return j.select("host", "path", "timed", (within("p50_ms", "e50") & within("p99_ms", "e99")).alias("within"))
 
 
 def _message_id() -> list:
