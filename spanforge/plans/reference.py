@@ -560,6 +560,58 @@ def redacted_headers(spark, d):
     return t.select("txn_id", "delivery_id", redact.redact_headers(F.col("req_headers"), KEY).alias("headers"))
 
 
+#: Shapes of which every match in these texts is a token afterwards, and the texts have none left.
+_COUNTED = ("EMAIL", "SSN", "PAN", "IFSC", "CARD")
+
+
+def _shape_sql(kind: str) -> str:
+    found = "regexp_extract_all(req_body, '" + dict(tokens.SHAPES)[kind].replace("'", "''") + "')"
+    if kind == "CARD":
+        luhn = "list_sum(list_transform(range(1, len(m) + 1), lambda k: CASE WHEN (len(m) - k) % 2 = 1 THEN (2 * CAST(substr(m, k, 1) AS INT)) // 10 + (2 * CAST(substr(m, k, 1) AS INT)) % 10 ELSE CAST(substr(m, k, 1) AS INT) END)) % 10 = 0"
+        found = f"list_filter({found}, lambda m: {luhn})"
+    return f"CAST(coalesce(len({found}), 0) AS INT) AS {kind.lower()}"
+
+
+@query("redacted_shapes", "SELECT txn_id, delivery_id, " + ", ".join(map(_shape_sql, _COUNTED)) + ", CAST(0 AS INT) AS missed FROM transactions WHERE req_body IS NOT NULL AND NOT regexp_matches(req_body, '(?i)token|secret|passw|session|cookie|auth|sid|ssn|pin|key|otp|cvv|cvc|pwd|credential|signature|[cx]srf|://[^/\\s:@?#]+:')")
+def redacted_shapes(spark, d):
+    """Tokens of five shapes in the redacted bodies, and matches of these shapes that are left, of all bodies without a word that names a secret."""
+    named = r"(?i)token|secret|passw|session|cookie|auth|sid|ssn|pin|key|otp|cvv|cvc|pwd|credential|signature|[cx]srf|://[^/\s:@?#]+:"
+    t = table(spark, d, "transactions").select("txn_id", "delivery_id", "req_body").where(F.col("req_body").isNotNull() & ~F.col("req_body").rlike(named))
+    t = t.select("txn_id", "delivery_id", redact.redact_text(F.col("req_body"), KEY).alias("b"))
+    left = sum((F.regexp_count("b", F.lit(dict(tokens.SHAPES)[k])) for k in _COUNTED if k != "CARD"), F.lit(0))
+    return t.select("txn_id", "delivery_id", *(F.regexp_count("b", F.lit(f"PII_{k}_[0-9a-f]{{32}}")).alias(k.lower()) for k in _COUNTED), left.cast("int").alias("missed"))
+
+
+def _header_sql(name: str) -> str:
+    return f"CASE WHEN trim(req_headers['{name}']) <> '' THEN 'PII_SECRET_' || substr({hmac_sql(f"trim(req_headers['{name}'])")}, 1, 32) ELSE req_headers['{name}'] END"
+
+
+@query("redacted_secrets", f"SELECT txn_id, delivery_id, {_header_sql('x-api-key')} AS api_key, CASE WHEN strpos(trim(req_headers['authorization']), ' ') > 0 THEN split_part(trim(req_headers['authorization']), ' ', 1) || ' PII_SECRET_' || substr({hmac_sql("trim(substr(trim(req_headers['authorization']), strpos(trim(req_headers['authorization']), ' ') + 1))")}, 1, 32) WHEN trim(req_headers['authorization']) <> '' THEN {_header_sql('authorization')} ELSE req_headers['authorization'] END AS authorization, CAST(cardinality(req_headers) AS INT) AS n FROM transactions")
+def redacted_secrets(spark, d):
+    """Headers that carry a secret by their name, redacted, and the number of headers, which stays."""
+    t = table(spark, d, "transactions").select("txn_id", "delivery_id", redact.redact_headers(F.col("req_headers"), KEY).alias("h"))
+    return t.select("txn_id", "delivery_id", F.col("h")["x-api-key"].alias("api_key"), F.col("h")["authorization"].alias("authorization"), F.size("h").alias("n"))
+
+
+NAMED_SQL = f"""
+WITH b AS (SELECT c_custkey, 'T' || c_custkey AS s FROM customer)
+SELECT c_custkey, '{{"password":"PII_SECRET_' || substr({hmac_sql('s')}, 1, 32) || '","note":"' || s || '"}}' AS json, 'a=' || s || '&api_key=PII_SECRET_' || substr({hmac_sql('s')}, 1, 32) || '&b=2' AS form,
+ '<x><secret>PII_SECRET_' || substr({hmac_sql('s')}, 1, 32) || '</secret><y>' || s || '</y></x>' AS xml, 'https://u:PII_SECRET_' || substr({hmac_sql('s')}, 1, 32) || '@h/' AS url, 'PII_PRIVATE_KEY_REDACTED' AS pem FROM b
+"""
+
+
+@query("named_secrets", NAMED_SQL)
+def named_secrets(spark, d):
+    """Secrets under names in JSON, forms, XML, URLs and key blocks."""
+    s = F.concat(F.lit("T"), F.col("c_custkey").cast("string"))
+    made = {
+        "json": F.concat(F.lit('{"pass\\u0077ord":"'), s, F.lit('","note":"'), s, F.lit('"}')), "form": F.concat(F.lit("a="), s, F.lit("&api_key="), s, F.lit("&b=2")), "xml": F.concat(F.lit("<x><secret>"), s, F.lit("</secret><y>"), s, F.lit("</y></x>")),
+        "url": F.concat(F.lit("https://u:"), s, F.lit("@h/")), "pem": F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), s, F.lit("\n-----END PRIVATE KEY-----")),
+    }
+    out = table(spark, d, "customer").select("c_custkey", *(redact.redact_text(c, KEY).alias(n) for n, c in made.items()))
+    return out.withColumn("json", F.replace("json", F.lit("pass\\u0077ord"), F.lit("password")))
+
+
 @query("cookie_redaction", f"""
 WITH c AS (SELECT DISTINCT req_headers['cookie'] AS cookie FROM transactions WHERE req_headers['cookie'] IS NOT NULL)
 SELECT cookie, array_to_string(list_transform(string_split(cookie, ';'), lambda p: CASE WHEN strpos(p, '=') > 0 AND trim(substr(p, strpos(p, '=') + 1)) <> '' THEN split_part(p, '=', 1) || '=PII_SECRET_' || substr({hmac_sql("trim(substr(p, strpos(p, '=') + 1))")}, 1, 32) ELSE p END), ';') AS redacted FROM c""")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.sources.decode import frames
@@ -34,10 +34,10 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         rows = []
-        for conn, direction, payload, cut in zip(b["conn"], b["direction"], b["payload"], b["cut"]):
+        for conn, direction, payload, cut, quic in zip(b["conn"], b["direction"], b["payload"], b["cut"], b["quic"]):
             if key != (conn, direction):
                 rows += [row(m) for m in stream.end()] if stream else []
-                key, stream, n = (conn, direction), AutoStream(), 0
+                key, stream, n = (conn, direction), AutoStream(bool(quic)), 0
             try:
                 rows += [row(m) for m in stream.feed(payload or b"")]
             except Malformed as e:
@@ -52,8 +52,19 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def decode(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """HTTP/1 and HTTP/2 messages, resets and goaways of (conn, direction, payload, cut) chunks in ``order``; a chunk that is ``cut`` ends what is being read."""
-    return chunks.repartition("conn", "direction").sortWithinPartitions("conn", "direction", *order).select("conn", "direction", "payload", "cut").mapInPandas(_decode, MESSAGES)
+    """Messages of any HTTP version, WebSocket frames, resets and goaways of (conn, direction, payload, cut) chunks in ``order``.
+
+    A chunk that is ``cut`` ends what is being read. A column ``quic`` tells
+    chunks of QUIC providers, the only ones in which HTTP/3 is looked for.
+    """
+    rows = chunks if "quic" in chunks.columns else chunks.withColumn("quic", F.lit(False))
+    return rows.repartition("conn", "direction").sortWithinPartitions("conn", "direction", *order).select("conn", "direction", "payload", "cut", "quic").mapInPandas(_decode, MESSAGES)
+
+
+def stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Captured records, parquet files with a column ``record``, as they arrive in a folder, decoded."""
+    raw = spark.readStream.schema("record binary").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return read_records(raw)
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,7 @@ from spanforge.sources.decode.fields import Malformed
 
 HEAD_LIMIT, LINE_LIMIT, PREVIEW = 64 << 10, 1024, 8192
 METHODS = frozenset((b"GET", b"POST", b"PUT", b"DELETE", b"PATCH", b"HEAD", b"OPTIONS", b"CONNECT", b"TRACE"))
+OPCODES = {0: "continuation", 1: "text", 2: "binary", 8: "close", 9: "ping", 10: "pong"}
 _STATUS = re.compile(rb"HTTP/1\.[01] ([1-9]\d\d)(?: .*)?$", re.S)
 
 
@@ -22,6 +23,7 @@ class Message:
     body_total: int = 0
     complete: bool = False
     #: HTTP/2: the stream, and 'reset' or 'goaway' for what is no message (of goaway, ``stream`` is the last one processed).
+    #: WebSocket: the frame's kind, its payload in ``body``.
     stream: int | None = None
     event: str | None = None
 
@@ -39,13 +41,17 @@ def merge(headers: dict[str, str], name: str, value: str, cookies: bool = False)
 class Stream:
     """Feed bytes, get complete messages; only unconsumed bytes are kept.
 
-    The state is one of head, fixed, size (of a chunk), chunk, trailer, close
-    and raw (upgraded), with the message being built and a count of bytes left.
+    The state is one of head, fixed, size (of a chunk), chunk, trailer, close,
+    raw (upgraded, at the head of a frame) and frame_ (in it), with the message being
+    built and a count of bytes left. A direction is upgraded by the answer 101 or
+    by a request for a WebSocket; if that was refused, the next request begins
+    with a method and not with a frame's head, which tells the two apart.
     """
 
     def __init__(self) -> None:
         self.buf, self.state, self.left = bytearray(), "head", 0
         self.now: Message | None = None
+        self.mask = b""
 
     def feed(self, data: bytes, answers: list[str] | None = None) -> list[Message]:
         """``answers`` are the methods the next responses answer, for bodies that HEAD and CONNECT have none of."""
@@ -135,7 +141,10 @@ class Stream:
             self.left, self.state = int(size), "fixed"
             return True
         if m.status is None:
-            return self._done(out)
+            self._done(out)
+            if "websocket" in m.headers.get("upgrade", "").lower():
+                self.state = "raw"
+            return True
         self.state = "close"
         return True
 
@@ -197,4 +206,39 @@ class Stream:
         return False
 
     def _raw(self, out: list[Message], _) -> bool:
-        return False
+        b = self.buf
+        if len(b) < 2:
+            return False
+        if b[0] & 0x70 or (b[0] & 15) not in OPCODES:
+            if bytes(b[:1]).isupper():  # a method or a status line: not upgraded after all
+                self.state = "head"
+                return True
+            raise Malformed("frame")
+        size, at = b[1] & 127, 2
+        if size > 125:
+            width = 2 if size == 126 else 8
+            if len(b) < at + width:
+                return False
+            size, at = int.from_bytes(b[at : at + width], "big"), at + width
+        if b[1] & 128:
+            if len(b) < at + 4:
+                return False
+            at += 4
+        self.mask = bytes(b[at - 4 : at]) if b[1] & 128 else b""
+        self.now = Message(event=OPCODES[b[0] & 15])
+        self.left, self.state = size, "frame_"
+        del b[:at]
+        return True
+
+    def _frame_(self, out: list[Message], _) -> bool:
+        n = min(self.left, len(self.buf))
+        self._take(n)
+        self.left -= n
+        if self.left:
+            return False
+        m = self.now
+        if self.mask:
+            m.body = bytes(x ^ self.mask[k & 3] for k, x in enumerate(m.body))
+        self._done(out)
+        self.state = "raw"
+        return True
