@@ -87,6 +87,24 @@ def pack(rows: DataFrame, by: list[str], order: list[str], size: str, most_event
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
+def queued(rows: DataFrame, by: list[str], order: list[str], size: str, capacity: int) -> DataFrame:
+    """Rows with ``accepted``: a queue of ``capacity`` bytes, emptied at the end of each ``by``, refuses a row that does not fit and takes later ones that do."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", accepted boolean"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, 0
+        for p in parts:
+            out = []
+            for *k, s in zip(*(p[c].tolist() for c in by), p[size].tolist()):
+                if k != key:
+                    key, held = k, 0
+                out.append(held + s <= capacity)
+                held += s if out[-1] else 0
+            yield p.assign(accepted=out)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
 # Required keys and their types.
 HEADER_FIELDS = {"Version": "str", "MessageTime": "str", "TenantId": "str", "Sequence": "int", "InternalOPCID": "str", "PolicyVersion": "str"}
 EVENT_FIELDS = {

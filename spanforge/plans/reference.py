@@ -348,21 +348,19 @@ def body_base64(spark, d):
     return table(spark, d, "transactions").select("txn_id", "delivery_id", http.base64_text(F.col("req_body")).alias("body"), F.coalesce(F.octet_length("req_body"), F.lit(0)).alias("body_length"))
 
 
-def _previews(docs):
-    p = http.preview(F.col("text"))
-    return docs.select("doc_id", F.coalesce(F.length(p), F.lit(0)).alias("n"), p.alias("preview"))
+PREVIEW_SQL = """
+WITH h AS (SELECT doc_id, text, strlen(text) AS n, CASE WHEN strlen(text) > 8192 THEN substr(hex(encode(text)), 1, 16384) END AS h FROM documents),
+c AS (SELECT *, regexp_replace(h, '^((?:..)*?)(?:C[2-9A-F]|D[0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-4](?:[89AB][0-9A-F]){0,2})$', '\\1') AS whole FROM h),
+p AS (SELECT doc_id, CASE WHEN n <= 8192 THEN text ELSE decode(from_hex(whole)) || CASE WHEN whole <> h THEN chr(65533) ELSE '' END END AS p FROM c)
+SELECT doc_id, CAST(coalesce(length(p), 0) AS INT) AS n, CASE WHEN p <> '' THEN p END AS preview FROM p
+"""
 
 
-@query("body_preview", "SELECT doc_id, CAST(length(p) AS INT) AS n, CASE WHEN p <> '' THEN p END AS preview FROM (SELECT doc_id, CASE WHEN strlen(text) <= 8192 THEN text ELSE text[1:8192] END AS p FROM documents WHERE strlen(text) = length(text) AND text IS NOT NULL)")
+@query("body_preview", PREVIEW_SQL)
 def body_preview(spark, d):
-    """The part of ``body_preview_all`` that SQL can repeat: texts of single-byte characters, where engines cut alike."""
-    return _previews(table(spark, d, "documents").where("octet_length(text) = length(text)"))
-
-
-@query("body_preview_all")
-def body_preview_all(spark, d):
-    """The first 8,192 bytes of every text, a character cut at the border replaced; without SQL, as DuckDB does not cut bytes of text."""
-    return _previews(table(spark, d, "documents"))
+    """The first 8,192 bytes of every text, a character cut at the border replaced; null for empty and null texts."""
+    p = http.preview(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.length(p), F.lit(0)).alias("n"), F.when(p != "", p).alias("preview"))
 
 
 HEAD_SQL = "req_method || ' ' || req_path || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || coalesce(req_host, 'none') || chr(13) || chr(10) || 'X-Tag: a' || chr(13) || chr(10) || 'x-tag:  b ' || chr(13) || chr(10) || 'Content-Length: ' || coalesce(strlen(req_body), 0) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(req_body, '')"
@@ -738,6 +736,20 @@ def batch_packing(spark, d):
     return wire.pack(t, ["source", "flush"], ["doc_id"], "n_chars", 5, 20_000).select("doc_id", "flush", "batch")
 
 
+QUEUE_SQL = """
+WITH RECURSIVE r AS (SELECT source, doc_id // 1000 AS flush, doc_id, n_chars, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT source, flush, i, doc_id, n_chars <= 30000 AS accepted, CASE WHEN n_chars <= 30000 THEN n_chars ELSE 0 END AS held FROM r WHERE i = 1
+ UNION ALL SELECT r.source, r.flush, r.i, r.doc_id, f.held + r.n_chars <= 30000, CASE WHEN f.held + r.n_chars <= 30000 THEN f.held + r.n_chars ELSE f.held END FROM f JOIN r ON r.source = f.source AND r.flush = f.flush AND r.i = f.i + 1)
+SELECT doc_id, accepted FROM f"""
+
+
+@query("bounded_queue", QUEUE_SQL)
+def bounded_queue(spark, d):
+    """Which events a queue of bounded bytes takes between two flushes, and which it refuses."""
+    t = table(spark, d, "documents").select("source", "doc_id", "n_chars", F.call_function("div", F.col("doc_id"), F.lit(1000)).alias("flush"))
+    return wire.queued(t, ["source", "flush"], ["doc_id"], "n_chars", 30_000).select("doc_id", "accepted")
+
+
 @query("envelopes", "SELECT delivery_id, '2.0' AS version, delivery_id AS sequence, CAST(count(*) AS INT) AS n FROM transactions GROUP BY delivery_id")
 def envelopes(spark, d):
     t = table(spark, d, "transactions").select("delivery_id", "txn_id", "req_method", epoch_ms(F.col("ts_ns")).alias("ms"))
@@ -854,25 +866,15 @@ def _h3_bytes(path):
     return b"\x04\0\x01" + _quic_varint(len(block)) + block
 
 
-@query("http3_headers_all")
-def http3_headers_all(spark, d):
+@query("http3_headers", "SELECT txn_id, delivery_id, 'POST' AS method, 'https' AS scheme, CASE WHEN req_path <> '' THEN req_path ELSE '/' END AS path FROM transactions")
+def http3_headers(spark, d):
     """Fields of every row with the whole path; a row without path has ``/``."""
-    return _h3_fields(_bytes(spark, d, _h3_bytes, ["req_path"]))
-
-
-def _h3_fields(t):
     from spanforge.sources.chunks import http3
 
+    t = _bytes(spark, d, _h3_bytes, ["req_path"])
     return t.select("txn_id", "delivery_id", http3("bytes").alias("h")).select("txn_id", "delivery_id", F.col("h")[":method"].alias("method"), F.col("h")[":scheme"].alias("scheme"), F.col("h")[":path"].alias("path"))
 
 
-@query("http3_headers", "SELECT txn_id, delivery_id, 'POST' AS method, 'https' AS scheme, substr(req_path, 1, 60) AS path FROM transactions WHERE strlen(req_path) = length(req_path)")
-def http3_headers(spark, d):
-    """The part of ``http3_headers_all`` that its SQL states: the first 60 characters of single-byte paths."""
-    t = _bytes(spark, d, _h3_bytes, ["req_path"]).where("octet_length(req_path) = length(req_path)")
-    return _h3_fields(t).withColumn("path", F.substring("path", 1, 60))
-
-
 @query("stream_pairing")
 def stream_pairing(spark, d):
     """Views and clicks paired with purchases and errors per user, with time to live, as a stream; sign-ups close."""

@@ -69,6 +69,8 @@ class AutoStream:
             self.held += data
             if self.quic and looks_like_h3(self.held):
                 self.inner = H3Stream()
+            elif self.quic and len(self.held) < 16:  # the longest type and length
+                return []
             elif self.held[:1] == b"\0" and len(self.held) < 9 + int.from_bytes(self.held[:3], "big") and len(self.held) < HOLD:
                 return []
             elif PREFACE.startswith(self.held):

@@ -138,3 +138,50 @@ def test_chunk_record():
     r = frames.chunk_record(raw + b"hello")
     assert (r["pid"], r["comm"], r["payload"], r["dst_port"], r["actual_len"]) == (42, "nginx", b"hel", 443, 40000)
     assert frames.chunk_record(raw[:-1]) is None and frames.chunk_record(raw.replace(b"\2\0\1\0", b"\3\0\1\0")) is None
+
+
+def _ws(payload, opcode=1, mask=b""):
+    n = len(payload)
+    head = bytes([128 | opcode]) + (bytes([n | (128 if mask else 0)]) if n < 126 else bytes([126 | (128 if mask else 0)]) + n.to_bytes(2, "big") if n < 65536 else bytes([127 | (128 if mask else 0)]) + n.to_bytes(8, "big"))
+    return head + mask + (bytes(x ^ mask[k & 3] for k, x in enumerate(payload)) if mask else payload)
+
+
+def test_an_upgraded_direction_is_read_as_frames_wherever_it_is_cut():
+    from spanforge.sources.decode.auto import AutoStream
+
+    big = bytes(range(256)) * 300
+    sent = b"GET /c HTTP/1.1\r\nUpgrade: WebSocket\r\n\r\n" + _ws(b"hello", 1, b"abcd") + _ws(b"", 9, b"\1\2\3\4") + _ws(big, 2, b"wxyz") + _ws(b"\x03\xe8", 8)
+    want = [("GET", None, 0), (None, "text", 5), (None, "ping", 0), (None, "binary", len(big)), (None, "close", 2)]
+    for step in (1, 7, 1000, len(sent)):
+        s = AutoStream()
+        got = [m for k in range(0, len(sent), step) for m in s.feed(sent[k : k + step])]
+        assert [(m.method, m.event, m.body_total) for m in got] == want and got[1].body == b"hello" and big.startswith(got[3].body) and len(got[3].body) == 8192
+    s = AutoStream()
+    got = s.feed(b"HTTP/1.1 101 x\r\nUpgrade: websocket\r\n\r\n" + _ws(b"hi"))
+    assert [(m.status, m.event) for m in got] == [(101, None), (None, "text")]
+
+
+def test_a_refused_upgrade_goes_on_as_requests():
+    from spanforge.sources.decode.auto import AutoStream
+
+    got = AutoStream().feed(b"GET /c HTTP/1.1\r\nUpgrade: websocket\r\n\r\nGET /d HTTP/1.1\r\n\r\n")
+    assert [m.target for m in got] == ["/c", "/d"]
+
+
+def test_early_frames_are_held_until_they_are_whole_and_quic_is_http3():
+    from spanforge.sources.decode import frames
+    from spanforge.sources.decode.auto import AutoStream, H3Stream
+
+    early = frames.h2_frame(frames.SETTINGS, 0, 0, b"\0\3\0\0\0\x64")
+    s = AutoStream()
+    for k in range(len(early) - 1):
+        assert s.feed(early[k : k + 1]) == [] and s.inner is None
+    s.feed(early[-1:])
+    assert isinstance(s.inner, frames.H2Direction)
+    with pytest.raises(Malformed):
+        AutoStream().feed(frames.h2_frame(frames.HEADERS, 4, 1, b"\x88") + b"\r\n\r\n")
+    data = b"\x04\0" + b"\x01\x03\0\0" + bytes([0xC0 | 25]) + b"\0\x02ok" + b"\x01\x03\0\0" + bytes([0xC0 | 25])
+    for step in (1, 3, len(data)):
+        s = AutoStream(quic=True)
+        got = [m for k in range(0, len(data), step) for m in s.feed(data[k : k + step])] + s.end()
+        assert isinstance(s.inner, H3Stream) and [(m.status, m.body) for m in got] == [(200, b"ok"), (200, b"")]
