@@ -72,6 +72,13 @@ def pod_uid(path: Column) -> Column:
     return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(uid, lambda s: s.rlike(r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"))), -1)
 
 
+def mapped_file(line: Column) -> Column:
+    """(dev, inode, path) of a line of a process's memory map that maps a library's code; null for any other."""
+    p = r"^[0-9a-f]+-[0-9a-f]+ ..x. [0-9a-f]+ ([0-9a-f]+:[0-9a-f]+) ([0-9]+)\s+(/.*\.so(?:\.[0-9.]+)?)$"
+    found = F.struct(F.regexp_extract(line, p, 1).alias("dev"), F.regexp_extract(line, p, 2).try_cast("long").alias("inode"), F.regexp_extract(line, p, 3).alias("path"))
+    return F.when(line.rlike(p), found)
+
+
 def sse_data(body: Column) -> Column:
     """JSON texts of ``data:`` lines, in order, without [DONE] and texts that are no JSON."""
     lines = F.filter(F.split(body, r"\r?\n"), lambda x: x.startswith("data: "))

@@ -453,11 +453,14 @@ def abi_filter(spark, d):
     return table(spark, d, "chunks").where("abi_version = 2").select("chunk_id", labels.payload_length(c("copied_len"), c("data_len"), F.lit(32767).cast("long")).alias("payload_len"), labels.truncated(c("flags"), c("actual_len"), c("copied_len")).alias("truncated"))
 
 
-@query("request_id_filter", "SELECT txn_id, delivery_id FROM transactions WHERE contains(req_headers['x-request-id'], 'r1')")
+_TEXTS = ("capture_source", "protocol", "direction", "source_ip", "dest_ip", "req_method", "req_path", "req_host", "req_scheme", "req_body", "outcome", "user_id", "user_role", "session_id", "auth_session_id")
+
+
+@query("request_id_filter", "SELECT txn_id, delivery_id FROM transactions WHERE contains(concat_ws(' ', " + ", ".join(_TEXTS) + ", " + ", ".join(f"array_to_string({f}({m}), ' ')" for m in ("req_headers", "req_query") for f in ("map_keys", "map_values")) + "), 'r1f')")
 def request_id_filter(spark, d):
-    """Events whose serialised row holds a request id."""
+    """Events whose serialised row holds a part of a request id, wherever it stands."""
     t = table(spark, d, "transactions")
-    return t.where(F.get_json_object(F.to_json(F.struct("req_headers")), "$.req_headers.x-request-id").contains("r1")).select("txn_id", "delivery_id")
+    return t.where(F.to_json(F.struct(*t.columns)).contains("r1f")).select("txn_id", "delivery_id")
 
 
 PARTS_SQL = "concat_ws('|', req_method, req_path, source_ip, CAST(source_port AS VARCHAR), CAST(txn_id AS VARCHAR))"
@@ -692,7 +695,10 @@ def process_names(spark, d):
 
 @query("cgroup_paths", "SELECT cgroup_id, container_id, substr(container_id, 1, 12) AS short_id, '0123abcd-0123-4567-89ab-0123456789ab' AS pod_uid FROM containers WHERE regexp_full_match(container_id, '[0-9A-Fa-f]{32,}')")
 def cgroup_paths(spark, d):
-    path = F.concat(F.lit("/kubepods.slice/kubepods-burstable.slice/kubepods-burstable-pod0123abcd_0123_4567_89ab_0123456789ab.slice/cri-containerd-"), F.col("container_id"), F.lit(".scope"))
+    kinds = ("cri-containerd-", "cri-o-", "crio-", "docker-", "libpod-", "containerd-", "")
+    kind = F.get(F.array(*map(F.lit, kinds)), F.pmod(F.col("cgroup_id"), F.lit(len(kinds))).cast("int"))
+    under = F.when(F.col("cgroup_id") % 2 == 0, "/kubepods.slice/kubepods-burstable.slice/kubepods-burstable-pod0123abcd_0123_4567_89ab_0123456789ab.slice/").otherwise("/kubepods/besteffort/pod0123abcd-0123-4567-89ab-0123456789ab/")
+    path = F.concat(under, kind, F.col("container_id"), F.when(F.col("cgroup_id") % 2 == 0, ".scope").otherwise(""))
     t = table(spark, d, "containers").select("cgroup_id", path.alias("path"))
     return t.select("cgroup_id", misc.container_id(F.col("path")).alias("container_id"), misc.pod_uid(F.col("path")).alias("pod_uid")).where("container_id is not null").withColumn("short_id", F.substring("container_id", 1, 12))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions import labels, tokens
+from spanforge.functions import labels, misc, tokens
 from spanforge.functions.normal import epoch_ms
 from spanforge.operators import metrics, order, transactions, wire
 from spanforge.plans.reference import FIFO_SQL, MS, _bytes, _h3_bytes, _heads, _ws_bytes
@@ -157,6 +157,53 @@ def built_transactions(spark, d):
     return b.select(F.get(part, 0).cast("long").alias("txn_id"), F.get(part, 1).cast("long").alias("delivery_id"), "req_method", "req_host", "resp_status", "resp_latency_ms", "outcome")
 
 
+def _h2_request(path, number):
+    from spanforge.sources.decode import fields
+
+    out = frames.PREFACE + frames.h2_frame(frames.SETTINGS, 0, 0, b"")
+    for stream in (1, 3, 5):
+        block = fields.hpack_encode([(":method", "GET"), (":path", f"{path or '/'}#{stream}"), (":authority", f"h{number}")])
+        out += frames.h2_frame(frames.HEADERS, 5, stream, block)
+    return out
+
+
+def _h2_response(number):
+    from spanforge.sources.decode import fields
+
+    answer = lambda stream, status: frames.h2_frame(frames.HEADERS, 5, stream, fields.hpack_encode([(":status", status)]))
+    return frames.h2_frame(frames.SETTINGS, 0, 0, b"") + answer(5, "404") + frames.h2_frame(frames.RST, 0, 3, b"\0\0\0\x08") + answer(1, "200")
+
+
+@query("http2_pairing", "SELECT txn_id, delivery_id, req_path || '#1' AS target, 200 AS status FROM transactions UNION ALL SELECT txn_id, delivery_id, req_path || '#5', 404 FROM transactions")
+def http2_pairing(spark, d):
+    """Three requests of a connection, answered out of order and one of them reset: each answer joins its own stream, the reset one is left out."""
+    t = table(spark, d, "transactions").select("txn_id", "delivery_id", "req_path")
+    sent = F.pandas_udf(lambda a, b: pd.Series([_h2_request(x, y) for x, y in zip(a, b)]), "binary")("req_path", "txn_id")
+    got = F.pandas_udf(lambda s: s.map(_h2_response), "binary")("txn_id")
+    c = t.select(F.concat_ws("-", "txn_id", "delivery_id").alias("conn"), sent.alias("q"), got.alias("r"), "txn_id")
+    # each side in two chunks, cut at a place the number tells
+    side = lambda name, n: [F.struct(F.lit(n).cast("byte").alias("direction"), F.lit(k).alias("k"), F.expr(f"substring({name}, {'1, cast(txn_id % octet_length(' + name + ') as int)' if k == 0 else 'cast(txn_id % octet_length(' + name + ') as int) + 1'})").alias("payload")) for k in (0, 1)]
+    c = c.select("conn", F.explode(F.array(*side("q", 0), *side("r", 1))).alias("p")).select("conn", "p.*", F.lit(False).alias("cut"))
+    m = chunks.decode(c, ["k"]).withColumns({"ms": F.col("direction").cast("long"), "seq": F.col("n").cast("long")} | {n: F.lit(None).cast("string") for n in transactions.NET})
+    part = F.split("conn", "-")
+    return transactions.paired(m).select(F.get(part, 0).cast("long").alias("txn_id"), F.get(part, 1).cast("long").alias("delivery_id"), F.col("q_target").alias("target"), F.col("r_status").alias("status"))
+
+
+@query("http1_chunked", "SELECT txn_id || '-' || delivery_id AS conn, CAST(coalesce(strlen(req_body), 0) AS BIGINT) AS body_total, CASE WHEN coalesce(strlen(req_body), 0) <= 8192 THEN coalesce(req_body, '') END AS body, true AS complete FROM transactions")
+def http1_chunked(spark, d):
+    """Bodies sent in chunks of thirty bytes with a trailer, the connection cut at a place its number tells."""
+    def made(body, number):
+        raw = (body or "").encode()
+        parts = [raw[k : k + 30] for k in range(0, len(raw), 30)]
+        return b"POST / HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n" + b"".join(b"%x;x=1\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\nx-sum: 1\r\n\r\n"
+
+    t = _bytes(spark, d, made, ["req_body", "txn_id"]).withColumn("at", (F.col("txn_id") % F.octet_length("bytes")).cast("int"))
+    parts = F.array(F.struct(F.lit(0).alias("k"), F.expr("substring(bytes, 1, at)").alias("payload")), F.struct(F.lit(1).alias("k"), F.expr("substring(bytes, at + 1)").alias("payload")))
+    c = t.select(F.concat_ws("-", "txn_id", "delivery_id").alias("conn"), F.lit(0).cast("byte").alias("direction"), F.explode(parts).alias("p")).select("conn", "direction", "p.*", F.lit(False).alias("cut"))
+    m = chunks.decode(c, ["k"])
+    return m.select("conn", "body_total", F.when(F.col("body_total") <= 8192, F.col("body").cast("string")).alias("body"), "complete")
+
+
 # ---------------------------------------------------------------- records, ingest, delivery
 
 @query("record_decode", "SELECT chunk_id, pid, ssl_ptr, direction, split_part(comm, chr(0), 1) AS comm, flags FROM (SELECT DISTINCT * FROM chunks) WHERE abi_version = 2")
@@ -209,3 +256,28 @@ def log_once(spark, d):
     c = table(spark, d, "chunks").where("cgroup_id is not null").groupBy("cgroup_id").agg(F.min(epoch_ms(F.col("ts_ns"))).alias("first_ms"))
     lost = c.join(table(spark, d, "containers").where("pod_namespace is not null").select("cgroup_id"), "cgroup_id", "left_anti")
     return order.newest(lost, [F.col("first_ms"), F.col("cgroup_id")], 128)
+
+
+@query("library_discovery", "SELECT DISTINCT '08:0' || (pid % 3) AS dev, CAST(pid % 40 AS BIGINT) AS inode, '/usr/lib/lib' || (pid % 40) || '.so.' || (pid % 3) AS path FROM chunks WHERE pid % 5 <> 0 ORDER BY path, dev, inode LIMIT 512")
+def library_discovery(spark, d):
+    """Mapped libraries of all processes, once by file, the first 512 by path (a bounded report)."""
+    pid = F.col("pid")
+    text = F.concat(F.lit("7f00-7f9a "), F.when(pid % 5 == 0, "rw-p").otherwise("r-xp"), F.lit(" 00000000 08:0"), (pid % 3).cast("string"), F.lit(" "), (pid % 40).cast("string"), F.lit("                     /usr/lib/lib"), (pid % 40).cast("string"), F.lit(".so."), (pid % 3).cast("string"))
+    lines = table(spark, d, "chunks").select(misc.mapped_file(text).alias("f")).where("f is not null").select("f.*")
+    return order.newest(lines.dropDuplicates(["dev", "inode", "path"]), [F.col("path"), F.col("dev"), F.col("inode")], 512)
+
+
+@query("event_streams", "SELECT o_orderkey, o_orderkey % 3 = 0 AS streams FROM orders")
+def event_streams(spark, d):
+    """Responses that are streams of events, by their content type."""
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "text/event-stream; charset=utf-8").when(F.col("o_orderkey") % 3 == 1, "text/html")
+    return table(spark, d, "orders").select("o_orderkey", labels.is_event_stream(F.create_map(F.lit("content-type"), kind)).alias("streams"))
+
+
+@query("ipv6_text", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '2001:db8::' || printf('%x', o_custkey) WHEN 1 THEN '::1' WHEN 2 THEN 'fe80::1:0:0:' || printf('%x', o_custkey) ELSE '1:2:3:4:5:6:7:' || printf('%x', o_custkey) END AS text FROM orders WHERE o_custkey BETWEEN 1 AND 65535")
+def ipv6_text(spark, d):
+    """Addresses of IPv6 as text."""
+    k, c = F.col("o_orderkey") % 4, F.lpad(F.lower(F.hex("o_custkey")), 4, "0")
+    head = F.when(k == 0, "20010db8" + "0" * 20).when(k == 1, "0" * 28).when(k == 2, "fe80" + "0" * 12 + "0001" + "0" * 8).otherwise("0001000200030004000500060007")
+    digits = F.concat(head, F.when(k == 1, "0001").otherwise(c))
+    return table(spark, d, "orders").where("o_custkey between 1 and 65535").select("o_orderkey", misc.ipv6(digits).alias("text"))
