@@ -1,7 +1,8 @@
 """Scope and enrichment by dimension tables.
 
-A dimension is broadcast only if its row count is at most ``BROADCAST_ROWS``,
-which is counted; above it the planner chooses a shuffle join.
+A dimension is broadcast only if its rows are at most ``BROADCAST_ROWS`` and
+their bytes at most ``BROADCAST_BYTES``, which are counted; above either the
+planner chooses a shuffle join.
 """
 
 from __future__ import annotations
@@ -9,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def small(dimension: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(dimension) if dimension.limit(most + 1).count() <= most else dimension
+def small(dimension: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    size = F.octet_length(F.to_json(F.struct(*dimension.columns)))
+    held = dimension.limit(most + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()  # two numbers
+    return F.broadcast(dimension) if held["rows"] <= most and held["bytes"] <= most_bytes else dimension
 
 
 def one_per_key(dimension: DataFrame, key: str, best: list[Column]) -> DataFrame:
