@@ -33,8 +33,8 @@ from spanforge.session import stored
 MOST_TERMINAL, ERRORS = 0.05, 2.0
 WORD = r"[\p{L}\p{M}]+|\p{N}+(?:[-./: ]\p{N}+)*|[^\p{L}\p{M}\p{N}\s]"
 START = "^"
-#: Flagged endings are broadcast up to this number, about 10 MB; above it the join is shuffled.
-BROADCAST_ENDINGS = 100_000
+#: Flagged endings are broadcast up to so many bytes; above it the join is shuffled.
+BROADCAST_BYTES = 16 << 20
 STOPS = (".", "!", "?", "。")
 
 
@@ -117,7 +117,8 @@ def judged(transactions: DataFrame, chunks: DataFrame, overrule: bool = True) ->
     counts = stored(trigram_counts(texts), "trigrams")
     last = texts.select("txn_id", "capture_source", "direction", "kind", "by_header", "whole", "by_syntax", *(F.try_element_at("words", F.lit(-k)).alias(c) for k, c in ((3, "a"), (2, "b"), (1, "c"))))
     flagged = stored(cut_endings(counts).withColumn("by_text", F.lit(True)), "endings")
-    if flagged.limit(BROADCAST_ENDINGS + 1).count() <= BROADCAST_ENDINGS:
+    held = flagged.agg(F.sum(F.octet_length("a") + F.octet_length("b") + F.octet_length("c") + 48).alias("n")).first()["n"] or 0  # one number
+    if held <= BROADCAST_BYTES:
         flagged = F.broadcast(flagged)  # so that a hot ending gathers no rows; beyond, the planner splits skewed keys
     closed = (F.col("kind").endswith("json") | F.col("kind").endswith("xml")) & ~F.col("by_syntax")
     known = F.lit(overrule) & (F.coalesce("whole", F.lit(False)) | closed)
