@@ -190,3 +190,29 @@ def p6_found(spark, d):
 def p6_redacted(spark, d):
     """The four fields of every row of transactions with findings replaced by placeholders."""
     return pii.redacted(table(spark, d, "transactions")).withColumnRenamed("id", "txn_id")
+
+
+@query("p6_clean", "SELECT 'body' AS field, CAST(count(req_body) AS BIGINT) AS n, true AS clean FROM transactions UNION ALL SELECT 'path', CAST(count(req_path) AS BIGINT), true FROM transactions UNION ALL SELECT 'query', CAST(count(req_query) AS BIGINT), true FROM transactions UNION ALL SELECT 'headers', CAST(count(req_headers) AS BIGINT), true FROM transactions")
+def p6_clean(spark, d):
+    """The redacted fields: as many as before, and read again nothing is found in them."""
+    r = pii.redacted(table(spark, d, "transactions")).withColumnRenamed("id", "txn_id")
+    names = {"body": "req_body", "path": "req_path", "query": "req_query", "headers": "req_headers"}
+    n = r.agg(*(F.count(c).alias(k) for k, c in names.items())).select(F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(k).alias("n")) for k in names))).alias("x")).select("x.*")
+    left = pii.found(r).groupBy("field").agg(F.count(F.lit(1)).alias("left"))
+    return n.join(left, "field", "left").select("field", "n", (F.coalesce("left", F.lit(0)) == 0).alias("clean"))
+
+
+#: Spellings that patterns can tell for certain.
+_CERTAIN = {
+    "email": r"(^|[^A-Za-z0-9.+%_-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}([^A-Za-z0-9.@-]|[.]?$|[.][^A-Za-z0-9])",
+    "national_id": r"(^|[^A-Za-z0-9.+/ -] ?|[a-z] )(0[1-9][0-9]|00[1-9]|[1-57-8][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])-(0[1-9]|[1-9][0-9])-(000[1-9]|00[1-9][0-9]|0[1-9][0-9]{2}|[1-9][0-9]{3})([^A-Za-z0-9 ./()+-]|[.]?$| [A-Za-z])",
+}
+
+
+@query("p6_certain", " UNION ALL ".join(f"SELECT DISTINCT txn_id, '{k}' AS pii_type FROM transactions WHERE regexp_matches(req_body, '{p}')" for k, p in _CERTAIN.items()))
+def p6_certain(spark, d):
+    """Bodies with an address or number in its plainest spelling that are found to have one: all of them."""
+    t = table(spark, d, "transactions")
+    f = pii.found(t).where("field = 'body'").select("txn_id", "pii_type")
+    plain = [t.where(F.col("req_body").rlike(p)).select("txn_id", F.lit(k).alias("pii_type")) for k, p in _CERTAIN.items()]
+    return f.join(plain[0].unionByName(plain[1]), ["txn_id", "pii_type"], "left_semi")
