@@ -32,6 +32,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -624,13 +625,23 @@ def _redact_map(pairs: list[tuple[str, str]] | None, redact=redact) -> list[tupl
     return list(out.items())
 
 
+def _changed(column: pa.Array, hit: pa.Array, change) -> pa.Array:
+    """The column with the rows that were hit changed; no other row is turned into an object."""
+    rows = np.flatnonzero(hit.fill_null(False).to_numpy(zero_copy_only=False))
+    if not len(rows):
+        return column
+    new = pa.array([change(x) for x in column.take(pa.array(rows)).to_pylist()], column.type)
+    place = np.arange(len(column))
+    place[rows] = len(column) + np.arange(len(rows))
+    return pa.concat_arrays([column, new]).take(pa.array(place))
+
+
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     short = lru_cache(1 << 15)(redact)
-    kind = pa.map_(pa.string(), pa.string())
+    ways = (short, redact, lambda m: _redact_map(m, short), lambda m: _redact_map(m, short))
     for b in batches:
-        path, body = ([x if hit is not True else f(x) for x, hit in zip(b.column(k).to_pylist(), b.column(k + 4).to_pylist())] for k, f in ((1, short), (2, redact)))
-        maps = [[x if hit is not True else _redact_map(x, short) for x, hit in zip(b.column(k).to_pylist(), b.column(k + 4).to_pylist())] for k in (3, 4)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(path, pa.string()), pa.array(body, pa.string()), *(pa.array(m, kind) for m in maps)], names=["id", "req_path", "req_body", "req_query", "req_headers"])
+        fields_ = [_changed(b.column(k), b.column(k + 4), change) for k, change in enumerate(ways, 1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *fields_], names=["id", "req_path", "req_body", "req_query", "req_headers"])
 
 
 def redacted(t: DataFrame, ident: str = "txn_id") -> DataFrame:
