@@ -219,6 +219,58 @@ CANDIDATE = "|".join((
 #: What any text that satisfies the pattern has: a first, cheap test. All branches need a capital, a sign of an address or an escape, seven digits, an ordinal, or digits as in a permanent account number.
 HINT = r"[A-Z@%&\\(\[{]|[^\x00-\x7f]|\d(?:[ +./\-)]{0,4}\d){6}|\d(?:st|nd|rd|th)|\d{4}[ \-+]?[a-z](?![a-z0-9])"
 
+
+def _set(*parts: str) -> str:
+    """A class with each sign listed; the parts az, AZ and 09 stand for all between. Java looks such signs up in one table, but calls functions for ranges, properties and negations."""
+    return "[" + "".join(re.escape(chr(c)) for part in parts for c in (range(ord(part[0]), ord(part[1]) + 1) if part in ("az", "AZ", "09") else map(ord, part))) + "]"
+
+
+def _by_head(words: list[str]) -> str:
+    """The words as alternatives that branch at the first letter."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{h}(?:{_anycase(' '.join(rest))})" for h, rest in heads.items())
+
+
+def _plain() -> tuple[str, str]:
+    """HINT and CANDIDATE as they read for texts of ASCII only, nearly all there are: the same texts pass.
+
+    What lies beyond ASCII is left out. A run of digits or capitals is tried
+    from its first one only (any match from inside it is also one from there),
+    and a repetition whose parts cannot begin what follows gives nothing back.
+    """
+    upper, letter, digit, sign = _set("AZ"), _set("AZ", "az"), _set("09"), _set("AZ", "az", "09")
+    hexa = _set("09", "ABCDEFabcdef")
+    escape = rf"%{hexa}{{2}}|\\u{hexa}{{4}}"
+    sep = rf"(?:{_set(' +./()-')}|{escape}|\\/|&nbsp;)"
+    blank = rf"(?:{_set(' +,')}|{escape}|&nbsp;)"
+    word = rf"(?:{_set('AZ', 'az', "'-")}++|%2[7dD]|\\u002[7dD]|&apos;)"
+    space = rf"(?:{_set(' +', ''.join(map(chr, range(9, 14))), ''.join(map(chr, range(28, 32))))}|{escape}|\\[nrt]|&nbsp;)?"
+    stems, roads, calles = ([w for w in words.split() if w.isascii()] for words in (STEMS, ROADS, CALLES))
+    seven = rf"{digit}(?:{sep}{{0,4}}+{digit}){{6}}"
+    calle = rf"(?i:(?:{_by_head(calles)}){blank})"
+    preposition = rf"(?i:a(?:m|n{blank}de[rn]|uf{blank}de[rm]|an{blank}de)|i(?:[mn]|n{blank}der)|unter{blank}den|zu[mr]|hinter{blank}der|vor{blank}dem|op{blank}de){blank}{{1,3}}{upper}{word}*+(?:{blank}{{1,3}}{upper}{word}*+)?{blank}{{1,3}}{digit}"
+    glued = rf"{upper}\.{upper}"
+    particles = PARTICLES.replace(" ", blank)
+    behind = r"(?: |%|\+|\\u)?"
+    hint = rf"{_set('AZ', '@%&\\([{')}|{digit}(?<!{digit}{digit})(?:(?:{_set(' +./-)')}{{0,4}}+{digit}){{6}}|{digit}{{3}}{digit}*+{_set(' -+')}?{_set('az')}(?!{_set('az', '09')})|{digit}*+(?:st|nd|rd|th))"
+    return hint, "|".join((
+        rf"(?={digit})(?:"
+        + rf"(?<!{sign}){seven}"
+        + rf"|{digit}{{4}}{_DASH}{letter}(?!{sign})(?<={letter}{{5}}{_DASH}{digit}{{4}}{_DASH}{letter})"
+        + rf"|{digit}(?={_set('AZ', 'az', ' +,%&\\')})(?:{letter}|{blank}?(?i:bis|ter))?{blank}{{1,4}}(?:{upper}|{digit}{{1,3}}(?i:st|nd|rd|th)|(?i:{_by_head(roads)}))"
+        + rf"|(?<={_set('AZ', 'az', '. %+')}){digit}(?<=(?i:{_anycase(' '.join(sorted({w[-2:] for w in stems})))}){behind}{digit})(?<=(?i:{_anycase(' '.join(stems))}){behind}{digit})"
+        + ")",
+        rf"(?={upper})(?:(?<!{upper}){upper}{word}*+\.?{blank}{{1,3}}+(?:{upper}|(?:{particles}){blank}{{1,3}}+{upper})|(?<!{_set('AZ', 'az', '09', '_')}){glued})",
+        rf"(?={_set(_heads(' '.join(calles)) + 'aiuzhvoAIUZHVO')})(?<!{letter})(?:{calle}|{preposition})",
+        rf"(?={_set('@%&([{\\')})(?:@|(?:[\[({{]|(?:%|\\u00)(?:5[bB]|28|7[bB])){space}(?:at|AT|At|aT){space}(?:[\])}}]|(?:%|\\u00)(?:5[dD]|29|7[dD]))"
+        + rf"|(?=[%\\])(?:{_OPAQUE[0]}|{_BEFORE}(?:{seven}|{glued}|{calle}|{preposition}))|{_OPAQUE[1]})",
+    ))
+
+
+HINT_ASCII, CANDIDATE_ASCII = _plain()
+
 # ---------------------------------------------------------------- features
 
 #: Words before a span, and parts of the key it stands under, that go with a type. Common words of several languages.
@@ -566,14 +618,23 @@ def redact(text: str | None, weights: dict[str, float] = WEIGHTS) -> str | None:
 FIELD, PAIR = "\x1e", "\x1f"
 
 
+def beyond(c: Column) -> Column:
+    """Whether a text has signs beyond ASCII."""
+    return F.octet_length(c) != F.length(c)
+
+
+def has_hint(c: Column) -> Column:
+    return beyond(c) | c.rlike(HINT_ASCII)
+
+
 def joined(m: Column) -> Column:
     """Names and values of a map as one text, without entries that have no hint of a candidate."""
-    hinted = F.filter(F.map_entries(m), lambda e: e["value"].rlike(HINT) | e["key"].rlike(HINT))
+    hinted = F.filter(F.map_entries(m), lambda e: has_hint(e["value"]) | has_hint(e["key"]))
     return F.array_join(F.transform(hinted, lambda e: F.concat(e["key"], F.lit(PAIR), F.coalesce(e["value"], F.lit("")))), FIELD)
 
 
 def hinted(c: Column) -> Column:
-    return c.rlike(HINT) & c.rlike(CANDIDATE)
+    return F.when(beyond(c), c.rlike(CANDIDATE)).otherwise(c.rlike(HINT_ASCII) & c.rlike(CANDIDATE_ASCII))
 
 
 def fields(t: DataFrame, ident: str = "txn_id") -> DataFrame:
