@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import http, identity, labels, misc, redact
@@ -20,26 +20,37 @@ def paired(messages: DataFrame) -> DataFrame:
     and interim responses before as well; a request without answer stays, with
     an outcome, but for one whose stream is reset, or above a goaway's last one,
     before its answer: it waits for none and is left out.
+
+    The messages are read once and sorted by connection once: a running count
+    gives those without a stream the key that pairs them, and all are brought
+    together by their key.
     """
-    m = messages.where(http.usable_request(F.col("method"), F.col("target")) | (F.col("status").isNotNull() & ~http.interim(F.col("status"))))
-    q_cols = [*(F.col(c).alias(f"q_{c}") for c in ("ms", "method", "target", "headers", "body")), *NET]
-    r_cols = [F.col(c).alias(f"r_{c}") for c in ("ms", "status", "headers", "body")]
-    ranked = pairing.fifo(m.where("stream is null"), ["conn"], ["ms", "seq"], F.col("method").isNotNull())
-    q = ranked.where("_s = 1").select("conn", "_rank", *q_cols)
-    r = ranked.where("_s = -1 and not _unpaired").select("conn", "_rank", *r_cols)
-    return q.join(r, ["conn", "_rank"], "left").drop("_rank").unionByName(_by_stream(m.where("stream is not null"), messages.where("event is not null"), q_cols, r_cols))
+    usable = http.usable_request(F.col("method"), F.col("target")) | (F.col("status").isNotNull() & ~http.interim(F.col("status")))
+    what = F.when(usable, F.when(F.col("method").isNotNull(), "request").otherwise("response")).when(F.col("event").isin("reset", "goaway"), F.col("event"))
+    m = messages.withColumn("_what", what).where("_what = 'request' or _what is not null and conn is not null")
+    m = _keyed(m.withColumns({"_s": F.when(F.col("stream").isNull(), F.when(F.col("_what") == "request", 1).when(F.col("_what") == "response", -1)), "_at": F.struct("ms", "seq")}))
+    at = {k: F.when(F.col("_what") == k, F.col("_at")) for k in ("request", "response", "reset", "goaway")}
+    latest = lambda k, c, name: F.max_by(c, at[k]).alias(name)
+    p = m.groupBy("conn", "stream", "_rank").agg(
+        *(latest("request", c, f"q_{c}") for c in ("ms", "method", "target", "headers", "body")), *(latest("request", c, c) for c in NET), *(latest("response", c, f"r_{c}") for c in ("ms", "status", "headers", "body")),
+        F.max(at["request"]).alias("q_at"), F.max(at["response"]).alias("r_at"), F.min(at["reset"]).alias("_reset"), F.max(F.when(F.col("_what") == "goaway", F.struct(F.col("stream").alias("last"), F.col("_at").alias("at")))).alias("_goaway"),
+    )
+    unanswered = lambda when: F.col("r_at").isNull() | (when < F.col("r_at"))
+    ended = F.exists(F.collect_list("_goaway").over(Window.partitionBy("conn")), lambda g: (F.col("stream") > g["last"]) & (g["at"] >= F.col("q_at")) & unanswered(g["at"]))
+    p = p.withColumn("_ended", ended).where("q_at is not null").where(~F.coalesce(unanswered(F.col("_reset")) & F.col("_reset").isNotNull(), F.lit(False)) & ~F.coalesce(F.col("_ended"), F.lit(False)))
+    return p.drop("stream", "_rank", "q_at", "r_at", "_reset", "_goaway", "_ended")
 
 
-def _by_stream(m: DataFrame, events: DataFrame, q_cols: list, r_cols: list) -> DataFrame:
-    at = F.struct("ms", "seq")
-    q = m.where("method is not null").select("conn", "stream", at.alias("_at"), at.alias("q_at"), *q_cols)
-    r = m.where("method is null").select("conn", "stream", at.alias("_at"), at.alias("r_at"), *r_cols)
-    p = pairing.keyed(q, r, ["conn", "stream"])
-    reset, goaway = (events.where(F.col("event") == e).select(F.col("conn").alias("_conn"), F.col("stream").alias("_stream"), at.alias("_when")) for e in ("reset", "goaway"))
-    unanswered = F.col("r_at").isNull() | (F.col("_when") < F.col("r_at"))
-    p = p.join(reset, (F.col("conn") == F.col("_conn")) & (F.col("stream") == F.col("_stream")) & unanswered, "left_anti")
-    p = p.join(goaway, (F.col("conn") == F.col("_conn")) & (F.col("stream") > F.col("_stream")) & (F.col("_when") >= F.col("q_at")) & unanswered, "left_anti")
-    return p.drop("stream", "q_at", "r_at")
+def _keyed(m: DataFrame) -> DataFrame:
+    """With ``_rank``: as ``pairing.fifo`` gives it to messages without a stream (``_s`` is 1 or -1; unpaired responses are left out), 0 for those of a stream, and its own below 0 for each goaway."""
+    w = Window.partitionBy("conn").orderBy("ms", "seq")
+    until, earlier = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("_d", F.sum("_s").over(until))
+    m = m.withColumn("_unpaired", (F.col("_s") == -1) & (F.col("_d") < F.least(F.coalesce(F.min("_d").over(earlier), F.lit(0)), F.lit(0))))
+    nth = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(until)
+    request, response, goaway = F.col("_s") == 1, (F.col("_s") == -1) & ~F.col("_unpaired"), F.col("_what") == "goaway"
+    rank = F.when(request, nth(request)).when(response, nth(response)).when(goaway, -nth(goaway)).otherwise(0)
+    return m.withColumn("_rank", rank).where("not coalesce(_unpaired, false)").drop("_s", "_d", "_unpaired")
 
 
 def transactions(pairs: DataFrame, key_hex: str, now_ms: int, closed: DataFrame | None = None, account_id: int = 0, source: str = "openssl") -> DataFrame:

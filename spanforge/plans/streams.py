@@ -161,13 +161,14 @@ def _h2_request(path, number):
     from spanforge.sources.decode import fields
 
     out = frames.PREFACE + frames.h2_frame(frames.SETTINGS, 0, 0, b"")
+    method, host = fields.hpack_encode([(":method", "GET")]), fields.hpack_encode([(":authority", f"h{number}")])
     for stream in (1, 3, 5):
-        block = fields.hpack_encode([(":method", "GET"), (":path", f"{path or '/'}#{stream}"), (":authority", f"h{number}")])
+        block = method + fields.hpack_encode([(":path", f"{path or '/'}#{stream}")]) + host
         out += frames.h2_frame(frames.HEADERS, 5, stream, block)
     return out
 
 
-def _h2_response(number):
+def _h2_response():
     from spanforge.sources.decode import fields
 
     answer = lambda stream, status: frames.h2_frame(frames.HEADERS, 5, stream, fields.hpack_encode([(":status", status)]))
@@ -179,8 +180,7 @@ def http2_pairing(spark, d):
     """Three requests of a connection, answered out of order and one of them reset: each answer joins its own stream, the reset one is left out."""
     t = table(spark, d, "transactions").select("txn_id", "delivery_id", "req_path")
     sent = F.pandas_udf(lambda a, b: pd.Series([_h2_request(x, y) for x, y in zip(a, b)]), "binary")("req_path", "txn_id")
-    got = F.pandas_udf(lambda s: s.map(_h2_response), "binary")("txn_id")
-    c = t.select(F.concat_ws("-", "txn_id", "delivery_id").alias("conn"), sent.alias("q"), got.alias("r"), "txn_id")
+    c = t.select(F.concat_ws("-", "txn_id", "delivery_id").alias("conn"), sent.alias("q"), F.lit(_h2_response()).alias("r"), "txn_id")
     # each side in two chunks, cut at a place the number tells
     side = lambda name, n: [F.struct(F.lit(n).cast("byte").alias("direction"), F.lit(k).alias("k"), F.expr(f"substring({name}, {'1, cast(txn_id % octet_length(' + name + ') as int)' if k == 0 else 'cast(txn_id % octet_length(' + name + ') as int) + 1'})").alias("payload")) for k in (0, 1)]
     c = c.select("conn", F.explode(F.array(*side("q", 0), *side("r", 1))).alias("p")).select("conn", "p.*", F.lit(False).alias("cut"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +20,40 @@ from spanforge.sources.decode.fields import Malformed
 
 MESSAGES = "conn string, direction byte, n int, method string, target string, status int, headers map<string,string>, body binary, body_total long, complete boolean, stream int, event string, problem string"
 
+SCHEMA = pa.schema([
+    ("conn", pa.string()), ("direction", pa.int8()), ("n", pa.int32()), ("method", pa.string()), ("target", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())),
+    ("body", pa.binary()), ("body_total", pa.int64()), ("complete", pa.bool_()), ("stream", pa.int32()), ("event", pa.string()), ("problem", pa.string()),
+])
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _maps(dicts: tuple) -> pa.MapArray:
+    starts, names, values = [], [], []
+    for h in dicts:
+        starts.append(None if h is None else len(names))
+        if h:
+            names += h
+            values += h.values()
+    starts.append(len(names))
+    return pa.MapArray.from_arrays(pa.array(starts, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, stream, n = None, None, 0
 
-    def row(m, problem=None) -> dict:
+    def row(m, problem=None) -> tuple:
         nonlocal n
         n += 1
-        return {"conn": key[0], "direction": key[1], "n": n - 1, "method": m.method if m else None, "target": m.target if m else None, "status": m.status if m else None, "headers": m.headers if m else None, "body": m.body if m else None, "body_total": m.body_total if m else None, "complete": bool(m and m.complete), "stream": m.stream if m else None, "event": m.event if m else None, "problem": problem}
+        if m is None:
+            return (*key, n - 1, None, None, None, None, None, None, False, None, None, problem)
+        return (*key, n - 1, m.method, m.target, m.status, m.headers, m.body, m.body_total, m.complete, m.stream, m.event, problem)
 
-    def frame(rows: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["conn", "direction", "n", "method", "target", "status", "headers", "body", "body_total", "complete", "stream", "event", "problem"])
-        return out.astype({"status": "Int32", "body_total": "Int64", "stream": "Int32"})
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(SCHEMA)
+        return pa.RecordBatch.from_arrays([_maps(c) if pa.types.is_map(f.type) else pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
 
     for b in batches:
         rows = []
-        for conn, direction, payload, cut, quic in zip(b["conn"], b["direction"], b["payload"], b["cut"], b["quic"]):
+        for conn, direction, payload, cut, quic in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in b.columns)):
             if key != (conn, direction):
                 rows += [row(m) for m in stream.end()] if stream else []
                 key, stream, n = (conn, direction), AutoStream(bool(quic)), 0
@@ -58,7 +77,7 @@ def decode(chunks: DataFrame, order: list[str]) -> DataFrame:
     chunks of QUIC providers, the only ones in which HTTP/3 is looked for.
     """
     rows = chunks if "quic" in chunks.columns else chunks.withColumn("quic", F.lit(False))
-    return rows.repartition("conn", "direction").sortWithinPartitions("conn", "direction", *order).select("conn", "direction", "payload", "cut", "quic").mapInPandas(_decode, MESSAGES)
+    return rows.repartition("conn", "direction").sortWithinPartitions("conn", "direction", *order).select("conn", "direction", "payload", "cut", "quic").mapInArrow(_decode, MESSAGES)
 
 
 def stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
